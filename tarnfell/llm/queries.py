@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, line_dedup, mixing, ngram_join
-from .common import table
+from . import chat_format, exact_dedup, language_id, line_dedup, media, mixing, ngram_join
+from .common import held_out, table
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(y) FROM r WHERE r.x
 FROM documents d LEFT JOIN n USING (doc_id)
 """
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store_texts(table(spark, sf_dir, "documents")))
+
+
 #: The conversation that every run of op3 formats besides the table's.
 CONTROL_CONVERSATION = "</s>[INST] ok [/INST]"
 
@@ -76,6 +80,12 @@ FROM p GROUP BY conv_id
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, ~held_out(F.col("doc_id"), 3, 1))
+    return language_id.predict(docs, model).withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -112,7 +122,9 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op2_media_columns": op2_media_columns,
         "op3_chat_format": op3_chat_format,
+        "op4_language_id": op4_language_id,
         "op5_line_dedup": op5_line_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op10_mix_sources": op10_mix_sources,
