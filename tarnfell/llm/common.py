@@ -33,10 +33,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder and forget the lineage (survives lost executors)."""
+def cut(df: DataFrame, gather: bool = False) -> DataFrame:
+    """Materialise in the shared folder and forget the lineage (survives lost executors).
+
+    gather: deal rows that are few bytes out of a wide step to files of a sensible size first.
+    """
     checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.hint("rebalance") if gather else df).checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 BLOCK_BYTES = 4096
+#: Blocks are sorted by so many leading bytes, then a hash, then the whole.
+LEAD_BYTES = 16
 #: Stands for "no right neighbour" in a pair; names are never negative.
 ALONE = -1
 
@@ -39,9 +41,15 @@ def _blocks(docs: DataFrame, block_bytes: int, id_col: str, text_col: str) -> Da
     return rows.select("doc_id", "sha", "n_blocks", F.posexplode(cuts).alias("pos", "block"))
 
 
-def _named(contents: DataFrame, *keys: str) -> DataFrame:
-    """Distinct contents in sorted order with names that follow it."""
-    return contents.distinct().orderBy(*keys).withColumn("name", F.monotonically_increasing_id())
+def _named(contents: DataFrame, spread: list, *keys: str) -> DataFrame:
+    """Distinct contents in sorted order with names that follow it.
+
+    spread: short leading sort keys.  They alone deal out the ranges, so that the sample of keys
+    that Spark takes to the driver for it does not hold contents.
+    """
+    lead = {f"_k{i}": k for i, k in enumerate(spread)}
+    ranged = contents.distinct().withColumns(lead).repartitionByRange(*lead)
+    return ranged.sortWithinPartitions(*lead, *keys).drop(*lead).withColumn("name", F.monotonically_increasing_id())
 
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", fingerprint=_fingerprint) -> DataFrame:
@@ -52,8 +60,8 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "d
     value of its own; an empty table gives no rows; other columns are ignored.
     """
     blocks = _blocks(docs, block_bytes, id_col, text_col)
-    names = _named(blocks.select("block"), "block")
-    by_print = cut(names.select(fingerprint(F.col("block")).alias("print"), "name"))
+    names = _named(blocks.select("block"), [F.col("block").substr(1, LEAD_BYTES), F.xxhash64("block")], "block")
+    by_print = cut(names.select(fingerprint(F.col("block")).alias("print"), "name"), gather=True)
     if by_print.groupBy("print").count().where("count > 1").limit(1).count():
         placed = blocks.join(cut(names), "block")
     else:
@@ -72,7 +80,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "d
             F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(ALONE)).alias("right"),
         )
         pairs = cut(pairs)
-        names = cut(_named(pairs.select("left", "right"), "left", "right"))
+        names = cut(_named(pairs.select("left", "right"), [F.col("left"), F.xxhash64("right")], "left", "right"))
         now = cut(pairs.join(names, ["left", "right"]).select("doc_id", "sha", "copies", "n", "pos", "name"))
         longest, level = (longest + 1) // 2, level + 1
     out = done[0]
