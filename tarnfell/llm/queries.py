@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, line_dedup, media, mixing, ngram_join
+from . import chat_format, exact_dedup, language_id, license_scan, line_dedup, media, mixing, ngram_join
 from .common import held_out, table
 
 
@@ -114,6 +114,11 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_spans", F.size("spans")).drop("spans")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "source", "weight", "phase", "block", "slot", "place", "release", "deadline")
@@ -127,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_line_dedup": op5_line_dedup,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_license_scan": op7_license_scan,
         "op10_mix_sources": op10_mix_sources,
     }
 
