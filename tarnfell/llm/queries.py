@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, license_scan, line_dedup, media, mixing, ngram_join
+from . import chat_format, exact_dedup, language_id, license_scan, line_dedup, media, mixing, ngram_join, toxicity
 from .common import held_out, table
 
 
@@ -119,6 +119,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_spans", F.size("spans")).drop("spans")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels, lambda doc_id: ~held_out(doc_id, 5, 0))
+    return toxicity.score(docs, model).withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "source", "weight", "phase", "block", "slot", "place", "release", "deadline")
@@ -133,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": op5_line_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_license_scan": op7_license_scan,
+        "op9_toxicity": op9_toxicity,
         "op10_mix_sources": op10_mix_sources,
     }
 
