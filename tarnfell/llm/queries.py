@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, license_scan, line_dedup, media, mixing, ngram_join, toxicity
+from . import chat_format, exact_dedup, language_id, license_scan, line_dedup, media, mixing, ngram_join, sentencepiece_codec, toxicity
 from .common import held_out, table
 
 
@@ -119,6 +119,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_spans", F.size("spans")).drop("spans")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, sf_dir, "documents")))
+    best = F.transform("n_best", lambda p: p["score"])
+    return written.select("doc_id", "n_pieces", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"), best.alias("n_best_scores"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -140,6 +146,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": op5_line_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_license_scan": op7_license_scan,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_toxicity": op9_toxicity,
         "op10_mix_sources": op10_mix_sources,
     }
