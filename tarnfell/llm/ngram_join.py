@@ -3,11 +3,13 @@
 Two documents link when 100 * |A & B| >= 80 * |A | B| over their sets of five-word shingles.
 
 1. One pass hashes every text: a 64-bit stamp of the shingle set and its size stand for all
-   documents with that set, and a count sketch of fixed size over all shingles of the corpus gives
-   one global order, rare before frequent.
-2. Linked sets of size n share one of the first n - ceil(0.8 n) + 1 shingles in that order, so the
-   sets that could link at all fall into connected parts: per shingle, sorted, every set is tied
-   to the first one of its inverted list (no pairs are made).
+   documents with that set, and a count sketch of bounded size over all shingles of the corpus
+   gives one global order, rare before frequent.
+2. Linked sets of size n share one of the first n - ceil(0.8 n) + 1 shingles in that order; the
+   inverted lists of those are short.  Pairs within lists of up to SHORT_LIST sets are counted, and
+   a pair stays if the count can still lead to the required overlap, as in T-occurrence search.
+   The sets of a longer list are tied to its first one instead, so no list makes many pairs.  The
+   pairs and ties that stay divide the sets into connected parts.
 3. Only sets in parts of two or more travel on.  Each part, or each pair of blocks of a part that
    is too large for one task, is searched by DivideSkip: for each set the short inverted lists are
    merged, sets that occur often enough are probed in the long lists by binary search, and those
@@ -19,6 +21,7 @@ Two documents link when 100 * |A & B| >= 80 * |A | B| over their sets of five-wo
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +35,17 @@ from .text_hash import shingle_sets
 
 SHINGLE_WORDS = 5
 PERCENT = 80
-#: Counters of the sketch that orders shingles; its size is fixed, whatever the corpus weighs.
-SKETCH_BITS = 20
-_CHUNK = 1 << 14
+#: The sketch that orders shingles has about one counter for so many of them, within these bounds
+#: (a rank takes a byte of broadcast, so 64 MB at most).
+SHINGLES_PER_COUNTER = 24
+SKETCH_BITS = (18, 26)
+_CHUNK = 1 << 16
+#: Lists of up to so many sets are counted pair by pair.
+SHORT_LIST = 64
 #: Shingles that one task searches at a time.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 3_000_000
+#: The count of sets tied by a long list.
+TIED = 1 << 40
 #: DivideSkip's factor between the cost of merging and of probing.
 MU = 0.01
 
@@ -45,100 +54,199 @@ def _i64(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def _slot(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _slot(shingles: np.ndarray, bits: int) -> np.ndarray:
+    return (shingles >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _sketch_bits(docs: DataFrame, text_col: str) -> int:
+    """About log2 of the corpus' shingles over SHINGLES_PER_COUNTER, taking six bytes for a word."""
+    weight = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return min(max((weight // (6 * SHINGLES_PER_COUNTER)).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
 
 
 def _stamp(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _first_pass(size: int):
+def _count(sketch: np.ndarray, slots: list[np.ndarray]) -> None:
+    if slots:
+        at, n = np.unique(np.concatenate(slots), return_counts=True)
+        sketch[at] += n.astype(np.uint32)
+
+
+def _first_pass(size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, slots, held = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
+        sketch, slots, held = np.zeros(1 << bits, np.uint32), [], 0
         for batch in batches:
             stamps, sizes = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             for k, s in shingle_sets(batch.column(1), size):
                 sizes[k], stamps[k] = len(s), _stamp(s)
-                slots.append(_slot(s))
-                if (held := held + len(s)) > 2 << SKETCH_BITS:
-                    sketch += np.bincount(np.concatenate(slots), minlength=len(sketch))
+                slots.append(_slot(s, bits))
+                if (held := held + len(s)) > 1 << 20:
+                    _count(sketch, slots)
                     slots, held = [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stamps), pa.array(sizes), pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.binary())], ["doc_id", "d", "n", "chunk", "counts"])
-        if slots:
-            sketch += np.bincount(np.concatenate(slots), minlength=len(sketch))
+        _count(sketch, slots)
         parts = sketch.reshape(-1, _CHUNK)
         used = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())],
+            [pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.array(used.astype(np.int32)), pa.array([_packed(parts[i]) for i in used], pa.binary())],
             ["doc_id", "d", "n", "chunk", "counts"],
         )
 
     return run
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the counters per chunk of what a task reads: at most 2**SKETCH_BITS / _CHUNK rows."""
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype("<u4").tobytes(), 1)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+    """The counters per chunk over all that a task reads, as many as the sketch has at most."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-            own = sums.setdefault(chunk, np.zeros(_CHUNK, np.int64))
-            own += np.frombuffer(counts, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
+        for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = sums.setdefault(chunk, np.zeros(_CHUNK, np.uint32))
+            more = np.frombuffer(zlib.decompress(counts), "<u4")
+            own[:] = np.minimum(own.astype(np.int64) + more, 0xFFFFFFFF)
+    return sums
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = _sums(batches)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())], ["chunk", "counts"])
+
+
+def _rank(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per counter a coarse rank: 0 for what is usual, more for each quarter doubling above it."""
+        sums = _sums(batches)
+        usual = max(1.0, sum(int(x.sum(dtype=np.int64)) for x in sums.values()) / (1 << bits))
+        spread = usual + 4 * np.sqrt(usual)
+        ranks = [np.clip(np.floor(4 * np.log2(np.maximum(x / spread, 1.0))), 0, 62).astype(np.uint8) for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in ranks], pa.binary())], ["chunk", "counts"])
+
+    return run
 
 
-def _ranks(sketch: DataFrame, tasks: int) -> np.ndarray:
-    """Per counter a coarse rank: 0 for what is usual, more for each doubling above it."""
-    part = sketch.repartition(tasks).mapInArrow(_add_up, "chunk int, counts binary").repartition(1).mapInArrow(_add_up, "chunk int, counts binary")
-    counts = np.zeros((1 << SKETCH_BITS) // _CHUNK * _CHUNK, np.int64).reshape(-1, _CHUNK)
-    for row in part.collect():
-        counts[row["chunk"]] = np.frombuffer(row["counts"], np.int64)
-    counts = counts.reshape(-1)
-    usual = max(1.0, counts.mean())
-    spread = usual + 4 * np.sqrt(usual)
-    return np.clip(np.floor(2 * np.log2(np.maximum(counts / spread, 1.0))), 0, 62).astype(np.uint8)
+def _ranks(sketch: DataFrame, bits: int) -> np.ndarray:
+    """One byte for each counter of the sketch, summed by tasks and then by one."""
+    kind = "chunk int, counts binary"
+    out = np.zeros((1 << bits) // _CHUNK * _CHUNK, np.uint8).reshape(-1, _CHUNK)
+    for row in sketch.repartition("chunk").mapInArrow(_add_up, kind).repartition(1).mapInArrow(_rank(bits), kind).collect():
+        out[row["chunk"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
+    return out.reshape(-1)
 
 
 def _prefix(s: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
     keep = len(s) - -(-percent * len(s) // 100) + 1
-    key = (ranks[_slot(s)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
+    key = (ranks[_slot(s, len(ranks).bit_length() - 1)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
     return s[np.argsort(key, kind="stable")[:keep]]
 
 
-def _postings(size: int, percent: int, ranks: np.ndarray):
+def _postings(size: int, percent: int, ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            lists, stamps = [], []
+            lists, stamps, sizes = [], [], []
             for k, s in shingle_sets(batch.column(0), size):
                 if len(s) and (d := _stamp(s)) not in seen:
-                    if len(seen) < 1_000_000:
+                    if len(seen) < 1_000_000:  # repeats beyond that are met again where lists are sorted
                         seen.add(d)
-                    lists.append(_prefix(s, ranks, percent))
+                    lists.append(_prefix(s, ranks.value, percent))
                     stamps.append(d)
+                    sizes.append(len(s))
             if lists:
                 lens = [len(x) for x in lists]
-                yield pa.RecordBatch.from_arrays([pa.array(_i64(np.concatenate(lists))), pa.array(np.repeat(np.array(stamps, np.int64), lens))], ["h", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(_i64(np.concatenate(lists))), pa.array(np.repeat(np.array(stamps, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int32), lens))], ["h", "d", "n"])
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by (h, d): every other d of a list tied to its first one."""
-    held: tuple[int, int] | None = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        h, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+def _pairs(percent: int, short: int):
+    """From postings sorted by (h, n, d): a, b and how many lists of up to short sets hold both.
+
+    In a longer list every set is tied to the first one, with a count that no filter stops.
+    """
+
+    def made(a, b, na, nb, c) -> pa.RecordBatch:
+        swap = a > b
+        a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
+        order = np.lexsort((b, a))
+        a, b, na, nb, c = a[order], b[order], na[order], nb[order], c[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        at = np.flatnonzero(new)
+        c = np.add.reduceat(c, at) if len(at) else c
+        return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(na[at]), pa.array(nb[at]), pa.array(c)], ["a", "b", "na", "nb", "c"])
+
+    def within(h, d, n, pivot) -> list[tuple]:
+        """Pairs of whole lists; pivot: (h, d, n) of a list that goes on from before and is long."""
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
-        if held and held[0] == h[0]:
-            new[0] = False
-        at = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-        pivot = np.where(at >= 0, d[np.maximum(at, 0)], held[1] if held else 0)
-        held = (int(h[-1]), int(pivot[-1]))
-        pairs = np.unique(np.stack([pivot, d], 1)[pivot != d], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(h)))
+        goes_on = pivot is not None and len(h) and h[0] == pivot[0]
+        out = []
+        many = np.repeat(size, size)
+        long = many > short
+        if goes_on:
+            long[: size[0]] = True
+        if long.any():
+            lead = np.repeat(first, size)
+            pd, pn = d[lead], n[lead]
+            if goes_on:
+                pd[: size[0]], pn[: size[0]] = pivot[1:]
+            pick = long & (pd != d)
+            out.append((pd[pick], d[pick], pn[pick], n[pick], np.full(int(pick.sum()), TIED, np.int64)))
+        keep = ~long & (many > 1)
+        h, d, n = h[keep], d[keep], n[keep]
+        for step in range(1, short):
+            if len(h) <= step:
+                break
+            pick = (h[step:] == h[:-step]) & (100 * n[:-step].astype(np.int64) >= percent * n[step:].astype(np.int64))
+            if not pick.any() and not (h[step:] == h[:-step]).any():
+                break
+            out.append((d[:-step][pick], d[step:][pick], n[:-step][pick], n[step:][pick], np.ones(int(pick.sum()), np.int64)))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, pivot = None, None
+        for batch in _and_last(batches):
+            if batch is not None and not len(batch):
+                continue
+            cols = [batch.column(i).to_numpy() for i in range(3)] if batch is not None else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+            if rest is not None:
+                cols = [np.concatenate(x) for x in zip(rest, cols)]
+            h, d, n = cols
+            if not len(h):
+                continue
+            once = np.ones(len(h), bool)
+            once[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+            h, d, n = h[once], d[once], n[once]
+            cut_at = len(h) if batch is None else int(np.searchsorted(h, h[-1]))
+            tail = len(h) - cut_at
+            on = pivot is not None and pivot[0] == h[-1]
+            if batch is not None and (on or tail > short):  # a long list that may go on: tie what is there
+                found = within(h, d, n, pivot)
+                if not on:
+                    pivot = (h[-1], d[cut_at], n[cut_at])
+                # lists before the last one are whole; the last one is long whatever follows
+                rest = (h[-1:], d[-1:], n[-1:])
+            else:
+                found = within(h[:cut_at], d[:cut_at], n[:cut_at], pivot)
+                rest = (h[cut_at:], d[cut_at:], n[cut_at:])
+                if pivot is not None and len(rest[0]) and rest[0][0] != pivot[0]:
+                    pivot = None
+            if found:
+                yield made(*(np.concatenate(x) for x in zip(*found)))
+
+    return run
+
+
+def _and_last(batches):
+    yield from batches
+    yield None
 
 
 def _deal(size: int):
@@ -260,13 +368,17 @@ def join(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PER
     text are read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    first = cut(rows.mapInArrow(_first_pass(shingle_words), "doc_id long, d long, n long, chunk int, counts binary"))
+    bits = _sketch_bits(rows, "text")
+    first = cut(rows.mapInArrow(_first_pass(shingle_words, bits), "doc_id long, d long, n long, chunk int, counts binary"))
     narrow = first.where("chunk is null").select("doc_id", "d", "n")
     sketch = first.where("chunk is not null").select("chunk", "counts")
-    ranks = _ranks(sketch, 8)
-    postings = rows.select("text").mapInArrow(_postings(shingle_words, percent, ranks), "h long, d long")
-    ties = postings.repartition("h").sortWithinPartitions("h", "d").mapInArrow(_stars, "a long, b long")
-    parts = components(ties)
+    ranks = docs.sparkSession.sparkContext.broadcast(_ranks(sketch, bits))
+    postings = rows.select("text").mapInArrow(_postings(shingle_words, percent, ranks), "h long, d long, n int")
+    counted = postings.repartition("h").sortWithinPartitions("h", "n", "d").mapInArrow(_pairs(percent, SHORT_LIST), "a long, b long, na int, nb int, c long")
+    counted = counted.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"))
+    # beyond the shared prefix at most ceil(percent n / 100) - 1 shingles of the larger set can be shared
+    needed = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)) - F.ceil(percent * F.greatest("na", "nb") / 100) + 1
+    parts = components(counted.where(F.col("c") >= needed).select("a", "b"))
     nodes = narrow.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     sized = cut(nodes.join(parts, nodes["d"] == parts["node"]).select("rep", "d", "n", F.col("root").alias("part")))
     blocks = sized.groupBy("part").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
