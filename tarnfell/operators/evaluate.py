@@ -41,6 +41,7 @@ def single(measured: DataFrame, locations: DataFrame, keys: list[str]) -> DataFr
 def overlap_centroid(measured: DataFrame, locations: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n_vps, lat, lon: the point that fits all circles best, found from the mean of their centres."""
     rows = constraints(measured, locations, keys)
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)  # few bytes, much to compute
     mean = lambda field: F.aggregate("constraints", F.lit(0.0), lambda s, c: s + c[field]) / F.size("constraints")
     rows = rows.withColumns({"seed_lat": mean("lat"), "seed_lon": mean("lon")})
     return rows.select(*keys, F.size("constraints").alias("n_vps"), centroid("constraints", "seed_lat", "seed_lon").alias("p")).select(*keys, "n_vps", "p.lat", "p.lon")

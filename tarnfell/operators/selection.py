@@ -28,6 +28,12 @@ def numbered(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
     return top.withColumn("seq", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by key to as many tasks as the session shuffles to: few bytes, but much to compute,
+    so adaptive execution must not gather them in one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def picks(rows: DataFrame, strategy: str) -> DataFrame:
     return rows.select(F.lit(strategy).alias("strategy"), "seq", "src", "dst", "rtt")
 
@@ -98,7 +104,7 @@ def oracle_picks(edges: DataFrame, locations: DataFrame, limit: int, n: int = CA
         out = group.iloc[order][["dst", "src", "rtt"]]
         return out.assign(rank=np.arange(1, len(order) + 1))
 
-    ranked = rows.groupBy("dst").applyInPandas(rank, "dst string, src string, rtt double, rank int")
+    ranked = spread(rows, "dst").groupBy("dst").applyInPandas(rank, "dst string, src string, rtt double, rank int")
     return picks(interleave(ranked, limit), "smart_perfect")
 
 
@@ -161,7 +167,7 @@ def greedy_trace(edges: DataFrame, locations: DataFrame, depth: int, utility: Ca
             size, left = now, np.delete(left, best)
         return pd.DataFrame(out, columns=["dst", "k", "src", "rtt", "utility", "actual_util", "predicted_rtt"])
 
-    return rows.groupBy("dst").applyInPandas(run, TRACE)
+    return spread(rows, "dst").groupBy("dst").applyInPandas(run, TRACE)
 
 
 def greedy_picks_intended(edges: DataFrame, locations: DataFrame, limit: int, **options) -> DataFrame:

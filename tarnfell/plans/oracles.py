@@ -124,7 +124,7 @@ def all_sql() -> dict[str, str]:
         "mesh_density": f"{_MESH} SELECT n AS n_nodes, e AS n_edges, CASE WHEN n * (n - 1) > 0 THEN round(e / cast(n * (n - 1) AS double), 6) END AS density FROM (SELECT count(*) AS n FROM mesh), (SELECT count(*) AS e FROM med)",
         "constraint_radius": f"{LAYERS} SELECT src, dst, round(rtt * 1e2, 6) AS radius_km FROM edges",
         "constraints_array": f"{_SEEDS} SELECT dst, cast(count(*) AS int) AS n_constraints, round(sum(rtt * 1e2), 6) AS sum_radius_km, min(src) AS first_src FROM vp GROUP BY 1",
-        "centroid_seed": f"{_SEEDS} SELECT dst, n_vps, round(lat, 6) AS seed_lat, round(lon, 6) AS seed_lon FROM seed",
+        "centroid_seed": f"{_SEEDS} SELECT dst, n_vps, round(lat, 9) AS seed_lat, round(lon, 9) AS seed_lon FROM seed",
         "penalty_at_seed": f"{_SEEDS} SELECT dst, round(sum(CASE WHEN d > r THEN (d - r) * (d - r) ELSE 0.001e0 * d END), 3) AS penalty FROM d GROUP BY 1",
         "region_size": f"{_SEEDS} SELECT dst, round(greatest(0e0, min(r - d)), 6) AS region_size_km FROM d GROUP BY 1",
         "expected_rtt": f"{LAYERS} SELECT e.src, e.dst, round({_km('a', 'b')} * 1.5e0 / 1e2, 6) AS expected_rtt FROM edges e JOIN loc a ON a.addr = e.src JOIN loc b ON b.addr = e.dst",
