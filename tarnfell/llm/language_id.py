@@ -22,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text_hash import PIECE, _strings
+from .text_hash import _strings
 
+#: Bytes that are worked on at a time, and texts.
+PIECE, TEXTS = 1 << 18, 1024
 BITS = 17
 DIM = 16
 NGRAMS = (2, 3, 4)
@@ -117,7 +119,11 @@ class Model:
         return sums / np.maximum(seen, 1)[:, None]
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language, score, rejected) per text."""
+        """(language, score, rejected) per text, some texts at a time."""
+        parts = [self._predict(column.slice(a, TEXTS)) for a in range(0, max(1, len(column)), TEXTS)]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(column)
         letters = np.array([x is not None and (any(map(str.isalpha, x[:64])) or any(map(str.isalpha, x))) for x in column.to_pylist()], bool)
         if not self.langs:
