@@ -1,0 +1,212 @@
+"""op1, op5, op6: against brute force, with nulls, empty and long texts, ties, repeated rows, clashing names."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tarnfell.llm import exact_dedup, graph, line_dedup, ngram_join, text_hash
+
+SCHEMA = "doc_id long, text string, n long, d string, row string, slot int, label string, body string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, 1, "x", "y", 2, "z", None) for i, t in rows], SCHEMA)
+
+
+def corpus(seed=5):
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(400)]
+    passage = " ".join(rng.choices(words, k=60))
+    rows: list[tuple[int | None, str | None]] = [(None, "no id at all here"), (0, None), (1, ""), (2, " \t\n\x0b\x0c\r"), (3, "one two"), (4, "ONE  two"), (5, "one two"), (6, "É é ß x y z"), (7, "word " * 30000)]
+    k = 10
+    for _ in range(14):
+        base = rng.choices(words, k=rng.randrange(20, 120))
+        for _ in range(rng.randrange(1, 6)):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            text = " ".join(copy)
+            rows.append((k, rng.choice([text, text.upper(), text.replace(" ", "\n", 3), text + "\n" + passage])))
+            k += 1
+    rows += [(k, rows[-1][1]), (k + 1, rows[-1][1]), rows[12], rows[12]]
+    return rows
+
+
+def shingles(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def components(rows):
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            i = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * i >= 80 * (len(sets[a]) + len(sets[b]) - i):
+                parent[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root(k)] = min(i, least.get(root(k), i))
+    return [(i, len(s), least.get(root(k))) for k, ((i, _), s) in enumerate(zip(rows, sets))]
+
+
+@pytest.mark.parametrize("block, short", [(ngram_join.BLOCK_SHINGLES, 64), (150, 64), (ngram_join.BLOCK_SHINGLES, 1), (150, 1)])
+def test_ngram_join(spark, monkeypatch, block, short):
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
+    rows = corpus()
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(frame(spark, rows), block_shingles=block).collect()]
+    assert sorted(got, key=repr) == sorted(components(rows), key=repr)
+
+
+def test_ngram_join_of_nothing(spark):
+    assert ngram_join.join(frame(spark, [])).count() == 0
+    kept = ngram_join.keep_one(frame(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (None, "a b c d e f")]))
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == [1, 3, None] and kept.columns == frame(spark, []).columns
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 25), min_size=1, max_size=20), min_size=2, max_size=25))
+def test_divide_skip_links_what_brute_force_links(sets):
+    def classes(links):
+        parent = list(range(len(sets)))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            parent[root(a)] = root(b)
+        return [min(k for k in range(len(sets)) if root(k) == root(x)) for x in range(len(sets))]
+
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    found = ngram_join.divide_skip([np.array(sorted(s), np.uint64) for s in sets])
+    assert classes(found) == classes(pairs) and set(map(frozenset, found)) <= set(map(frozenset, pairs))
+
+
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array(["alpha beta gamma delta epsilon zeta eta", None, "x" * 300 + " tail of it all here", "", "a b"])
+    whole = [s.tolist() for _, s in text_hash.shingle_sets(texts, 5)]
+    monkeypatch.setattr(text_hash, "PIECE", 16)
+    text_hash._tables.clear()
+    small = [s.tolist() for _, s in text_hash.shingle_sets(texts, 5)]
+    text_hash._tables.clear()
+    assert [len(s) for s in small] == [len(s) for s in whole] == [3, 0, 2, 0, 1]
+    assert small[0] == whole[0] and small[4] == whole[4]  # a word that outgrows a piece is hashed by parts
+
+
+def test_components_of_a_path_and_a_star(spark):
+    path = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
+    rows = graph.components(spark.createDataFrame(path, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in rows} == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100)} and len(rows) == 101
+
+
+def dropped(rows):
+    strip = lambda s: s.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    holders: dict[str, set[int]] = {}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if len(strip(line)) >= 10 and i is not None:
+                holders.setdefault(strip(line), set()).add(i)
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if i is None or len(holders.get(strip(x), ())) < 2 or min(holders[strip(x)]) == i]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=repr)
+
+
+def lines_corpus():
+    rng = random.Random(8)
+    pool = [f"A shared line number {k}" for k in range(12)] + ["short", "ééééééééé", "éééééééééé", "  padded LINE here \t", "padded line HERE", ""]
+    rows: list[tuple[int | None, str | None]] = [(k, "\n".join(rng.choices(pool, k=rng.randrange(0, 9)))) for k in range(25)]
+    return [*rows, (30, None), (31, ""), (None, pool[0] + "\n" + pool[1]), rows[3], (40, "\n".join(pool * 200))]
+
+
+def got(df):
+    return sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in df.collect()), key=repr)
+
+
+def test_line_dedup(spark):
+    rows = lines_corpus()
+    assert got(line_dedup.dedup_lines(frame(spark, rows))) == dropped(rows)
+    assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
+
+
+def test_line_dedup_is_reversible(spark):
+    rows = [r for r in lines_corpus() if r[0] is not None]
+    first, later = rows[:15], rows[15:]
+    index = line_dedup.insert(line_dedup.build(frame(spark, first), shards=3), frame(spark, later))
+    assert got(line_dedup.dedup_lines(frame(spark, rows), index)) == dropped(rows)
+    gone = {0, 2, 5, 7, 40}
+    index = line_dedup.delete(index, spark.createDataFrame([(g,) for g in gone], "doc_id long"))
+    left = [r for r in rows if r[0] not in gone]
+    assert got(line_dedup.dedup_lines(frame(spark, left), index)) == dropped(left)
+    index = line_dedup.insert(index, frame(spark, [r for r in rows if r[0] in gone]))
+    assert got(line_dedup.dedup_lines(frame(spark, rows), index)) == dropped(rows)
+
+
+def test_cuckoo_filter():
+    rng = np.random.default_rng(1)
+    keys = rng.integers(-(2**63), 2**63 - 1, (20_000, 2))
+    f = line_dedup.CuckooFilter(len(keys))
+    hi, lo = keys[:, 0].copy(), keys[:, 1].copy()
+    assert f.insert(hi, lo) and f.contains(hi, lo).all()
+    other = rng.integers(-(2**63), 2**63 - 1, (50_000, 2))
+    assert f.contains(other[:, 0].copy(), other[:, 1].copy()).mean() < 0.001
+    f.delete(hi[:5000], lo[:5000])
+    assert f.contains(hi[5000:], lo[5000:]).all() and f.contains(hi[:5000], lo[:5000]).mean() < 0.001
+    full = line_dedup.CuckooFilter(8)
+    assert not full.insert(hi[:2000], lo[:2000])
+
+
+EXACT = [(1, "same"), (2, "same"), (9, "same"), (3, "samf"), (4, None), (5, ""), (6, "same" * 50), (7, "same" * 50), (8, "same" * 50 + "x"), (None, "same"), (2, "same"), (None, "alone"), (10, "é" * 20), (11, "é" * 20), (12, "a" * 64), (13, "a" * 63), (4, "same")]
+
+
+def exact(rows):
+    by: dict[str, list] = {}
+    for i, t in rows:
+        by.setdefault(t or "", []).append(i)
+    return {t: (max((i for i in ids if i is not None), default=None), len(ids)) for t, ids in by.items()}
+
+
+@pytest.mark.parametrize("block", [3, 7, 4096])
+def test_exact_dedup(spark, block):
+    want, rows = exact(EXACT), exact_dedup.groups(frame(spark, EXACT), block_bytes=block).collect()
+    sha = {hashlib.sha256(t.encode()).hexdigest(): v for t, v in want.items()}
+    assert len(rows) == len(EXACT) and all((r["keep_id"], r["group_size"]) == sha[r["text_sha256"]] for r in rows)
+    assert sorted(r["text_sha256"] for r in rows if r["kept"]) == sorted(sha)
+    assert all(r["doc_id"] == r["keep_id"] for r in rows if r["kept"])
+    kept = exact_dedup.deduplicate(frame(spark, EXACT), block_bytes=block)
+    assert kept.columns == frame(spark, []).columns
+    assert sorted(((r["text"] or "", r["doc_id"]) for r in kept.collect()), key=repr) == sorted(((t, v[0]) for t, v in want.items()), key=repr)
+
+
+def test_exact_dedup_where_fingerprints_collide(spark):
+    weak = lambda block: F.struct(F.length(block).alias("n"))
+    df = frame(spark, EXACT)
+    strong = {(r["doc_id"], r["sha"]): (r["level"], r["name"]) for r in exact_dedup.identities(df, 5).collect()}
+    other = {(r["doc_id"], r["sha"]): (r["level"], r["name"]) for r in exact_dedup.identities(df, 5, fingerprint=weak).collect()}
+    assert strong == other and len(set(strong.values())) == len({s for _, s in strong})
+
+
+def test_exact_dedup_of_nothing(spark):
+    assert exact_dedup.groups(frame(spark, [])).count() == 0 and exact_dedup.deduplicate(frame(spark, [])).count() == 0
