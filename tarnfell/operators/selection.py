@@ -173,18 +173,22 @@ def greedy_trace(edges: DataFrame, locations: DataFrame, depth: int, utility: Ca
 def greedy_picks_intended(edges: DataFrame, locations: DataFrame, limit: int, **options) -> DataFrame:
     """Greedy picks with utilities that are taken anew after each measurement; columns of the trace and seq.
 
-    Sequences are computed to a depth that is doubled until no target's whole prefix is within the
-    limit while it has more sources to offer.
+    Sequences are computed to a depth, which is doubled for those targets only whose whole prefix
+    is within the limit while they have more sources to offer.
     """
     sizes = edges.groupBy("dst").agg(F.count("*").alias("n"))
-    totals = sizes.agg(F.sum("n").alias("pairs"), F.count("*").alias("targets"), F.max("n").alias("deepest")).first()
-    depth = max(2, -(-2 * limit // max(1, totals["targets"])))
+    n_targets = sizes.count()
+    depth = max(2, -(-2 * limit // max(1, n_targets)))
+    trace = cut(greedy_trace(edges, locations, depth, **options).withColumn("depth", F.lit(depth)))
     while True:
-        ordered = cut(greedy_order(greedy_trace(edges, locations, depth, **options), limit))
-        cut_off = ordered.groupBy("dst").agg(F.max("k").alias("k")).join(sizes, "dst").where((F.col("k") == depth) & (F.col("n") > depth))
-        if depth >= (totals["deepest"] or 0) or not cut_off.limit(1).count():
-            return ordered
+        ordered = cut(greedy_order(trace, limit))
+        deepest = ordered.groupBy("dst", "depth").agg(F.max("k").alias("k")).where(F.col("k") == F.col("depth"))
+        more = cut(deepest.join(sizes, "dst").where(F.col("n") > F.col("depth")).select("dst"))
+        if not more.limit(1).count():
+            return ordered.drop("depth")
         depth *= 2
+        deeper = greedy_trace(edges.join(more, "dst", "left_semi"), locations, depth, **options).withColumn("depth", F.lit(depth))
+        trace = cut(trace.join(more, "dst", "left_anti").unionByName(deeper))
 
 
 def remaining(edges: DataFrame, used: DataFrame) -> DataFrame:
