@@ -27,7 +27,7 @@ SAMPLE_ROWS = 8000
 #: Longer texts are not sampled for fitting (they are scored like any other).
 SAMPLE_TEXT_BYTES = 1 << 16
 #: Code points of the word beginnings that mining looks at.
-STEMS = (4, 5, 6, 7)
+STEMS = (4, 5, 6, 7, 8, 9)
 MINED = 160
 MIN_SUPPORT = 4
 MIN_PRECISION = 0.85
@@ -100,12 +100,15 @@ def _distinct(rows: list[tuple[str, int]]) -> np.ndarray:
 
 def mine(rows: list[tuple[str, int]], weights: np.ndarray) -> Voters:
     """Seed words, and words and word beginnings that are nearly only seen in labelled-toxic texts."""
+    seeds, begun = set(LEXICON), set()
     support: Counter = Counter()
     silent: Counter = Counter()
     weight = [1.0, 1.0]  # one for each label
     for (text, label), w in zip(rows, weights):
-        words = set(_WORD.findall((text or "").lower()))
-        seen = words | {word[:n] for word in words for n in STEMS if len(word) > n}
+        words = set(_WORD.findall((text or "").lower())) - seeds  # they vote already, and say nothing of their beginnings
+        starts = {word[:n] for word in words for n in STEMS if len(word) > n}
+        begun |= starts if label else set()
+        seen = words | starts
         if label:
             support.update(seen)
             weight[1] = float(w)
@@ -123,16 +126,21 @@ def mine(rows: list[tuple[str, int]], weights: np.ndarray) -> Voters:
         return float(candidates * np.exp(-n * far))
 
     good = {x for x, n in support.items() if n >= MIN_SUPPORT and weight[1] * n >= MIN_PRECISION * (weight[1] * n + weight[0] * silent[x]) and by_chance(x) < CHANCE}
-    chosen = sorted(good, key=lambda x: (-support[x], len(x), x))
+    chosen = sorted(good, key=lambda x: (-support[x], -len(x), x))
     words = dict.fromkeys(LEXICON)
     stems: dict[str, None] = {}
+    held: Counter = Counter()  # by beginning, the most texts of a longer voter that is chosen
     for x in chosen:
         if len(words) + len(stems) >= len(LEXICON) + MINED:
             break
-        if x in words or any(x[:n] in stems for n in STEMS if n < len(x)):
+        # a beginning that one longer voter accounts for is that voter
+        if x in words or any(x[:n] in stems for n in STEMS if n < len(x)) or held[x] > 0.9 * support[x]:
             continue
-        # a beginning that one longer word accounts for is that word
-        (stems if len(x) in STEMS else words)[x] = None
+        # whole words of a beginning's length are beginnings only if other words share them
+        (stems if x in begun else words)[x] = None
+        for n in STEMS:
+            if n < len(x):
+                held[x[:n]] = max(held[x[:n]], support[x])
     return Voters({w: k for k, w in enumerate(words)}, {s: k + len(words) for k, s in enumerate(stems)})
 
 
