@@ -52,6 +52,21 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: A class with more than this share of all rows joins by broadcast; there are at most 1 / share such.
+HOT_SHARE = 0.001
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows joined to their class (keys, ...; size says how many rows it has), whatever a class weighs.
+
+    Both sides are read more than once, so they should be materialised.
+    """
+    total = classes.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.col(size) > HOT_SHARE * total
+    hot, cold = F.broadcast(classes.where(is_hot)), classes.where(~is_hot)
+    return rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys).unionByName(rows.join(hot, keys))
+
+
 def held_out(doc_id, modulus: int, remainder: int):
     """crc32(doc_id as text) mod modulus == remainder; a null doc_id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_classes
 
 BLOCK_BYTES = 4096
 #: Blocks are sorted by so many leading bytes, then a hash, then the whole.
@@ -93,13 +93,12 @@ def groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_i
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest doc_id stays (of rows that are equal in doc_id too, one
-    stays; nulls rank below every id).  Large groups are summed before they meet, and the join that
-    hands the verdict back is one that adaptive execution splits when one group dominates.
+    stays; nulls rank below every id).  Groups are summed before they meet, and those that hold many
+    of the rows get their verdict by broadcast.
     """
     found = cut(identities(docs, block_bytes, id_col, text_col))
-    # most documents have a text of their own; only repeated identities take part in the join
-    verdict = found.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    rows = found.join(verdict, ["level", "name"])
+    verdict = cut(found.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
+    rows = join_classes(found, verdict, ["level", "name"], "group_size")
     rows = rows.select("doc_id", "sha", "keep_id", "group_size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     return rows.select(
         "doc_id", "keep_id", "group_size",
