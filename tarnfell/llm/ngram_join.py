@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_classes
 from .graph import components
 from .text_hash import shingle_sets
 
@@ -389,8 +389,8 @@ def join(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PER
     links = units.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "n", "d").mapInArrow(_search(percent), "a long, b long")
     joined = components(links)
     labelled = cut(narrow.where("n > 0").join(joined, narrow["d"] == joined["node"], "left").select("doc_id", "n", F.coalesce("root", "d").alias("label")))
-    names = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    full = labelled.join(names, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    names = cut(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")))
+    full = join_classes(labelled, names, ["label"], "size").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(narrow.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
