@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from tarnfell.checkpoints import checkpoint_root
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for cut lineage, as the session names it.
-
-    Only where the session names none, and only in local mode, a temporary folder is made; on a
-    cluster that folder would be invisible to the other machines, so there it is an error.
-    """
-    sc = spark.sparkContext
-    if root := sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(root)
-        return root
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    root = tempfile.mkdtemp(prefix="tarnfell-checkpoint-")
-    sc.setCheckpointDir(root)
-    return root
-
-
 def cut(df: DataFrame, gather: bool = False) -> DataFrame:
     """Materialise in the shared folder and forget the lineage (survives lost executors).
 
