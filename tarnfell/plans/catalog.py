@@ -20,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 START, END = "2026-02-23", "2026-02-26"
 PROBE_ARCHIVE, PING_ARCHIVE = "https://archive.invalid/probes", "https://archive.invalid/pings"
 RATIO, ADAPTIVE_MIN_NODES = 0.6, 50
-MAX_BUDGET, ORACLE_BUDGET = 2500, 400
+MAX_BUDGET = 2500
 _QUERIES: dict[str, Query] = {}
 
 
@@ -403,11 +403,11 @@ def measurements_map(d: Data) -> DataFrame:
 
 @query
 def oracle_picks(d: Data) -> DataFrame:
-    return selection.oracle_picks(d.edges, d.locations, ORACLE_BUDGET).select("seq", "src", "dst", "rtt")
+    return selection.oracle_picks(d.edges, d.locations, MAX_BUDGET).select("seq", "src", "dst", "rtt")
 
 
 def _trace(d: Data) -> DataFrame:
-    rows = selection.greedy_picks_intended(d.edges, d.locations, ORACLE_BUDGET)
+    rows = selection.greedy_picks_intended(d.edges, d.locations, MAX_BUDGET)
     return rows.select(
         F.col("seq").alias("ping_num"), F.col("dst").alias("target"), "src", F.col("utility").alias("expected_util"), "actual_util",
         (F.col("utility") - F.col("actual_util")).alias("error"), "predicted_rtt", F.col("rtt").alias("actual_rtt"),
@@ -416,7 +416,7 @@ def _trace(d: Data) -> DataFrame:
 
 @query
 def greedy_picks_intended(d: Data) -> DataFrame:
-    return selection.greedy_picks_intended(d.edges, d.locations, ORACLE_BUDGET).select("seq", "src", "dst", "rtt")
+    return selection.greedy_picks_intended(d.edges, d.locations, MAX_BUDGET).select("seq", "src", "dst", "rtt")
 
 
 @query
@@ -465,13 +465,13 @@ def budget_curve(d: Data) -> DataFrame:
 
 @query
 def budget_curve_centroid(d: Data) -> DataFrame:
-    """The reference's comparison: its three strategies, its way to estimate."""
+    """The reference's comparison: its three strategies, its budgets, its way to estimate."""
     chosen = (
-        selection.oracle_picks(d.edges, d.locations, ORACLE_BUDGET)
-        .unionByName(selection.random_picks(d.edges, ORACLE_BUDGET))
-        .unionByName(selection.greedy_as_written(d.edges, ORACLE_BUDGET))
+        selection.oracle_picks(d.edges, d.locations, MAX_BUDGET)
+        .unionByName(selection.random_picks(d.edges, MAX_BUDGET))
+        .unionByName(selection.greedy_as_written(d.edges, MAX_BUDGET))
     )
-    rows = evaluate.budget_curve(cut(chosen), d.edges, d.locations, evaluate.budgets_frame(d.spark, range(100, ORACLE_BUDGET + 1, 100)), evaluate.MODES[1])
+    rows = evaluate.budget_curve(cut(chosen), d.edges, d.locations, evaluate.budgets_frame(d.spark), evaluate.MODES[1])
     return rows.select("strategy", "budget", "targets_found", "n_targets", r6("avg_error_km", "avg_error_km"))
 
 

@@ -32,3 +32,10 @@ def test_every_supplier_is_a_node(spark, many_suppliers):
 def test_centroid_curve_has_the_strategies_of_the_reference(spark, many_suppliers):
     rows = catalog.queries()["budget_curve_centroid"](spark, many_suppliers).collect()
     assert {r["strategy"] for r in rows} == {"smart_perfect", "random", "iterative_greedy"}
+    assert {r["budget"] for r in rows} == set(range(100, 2501, 100)) and len(rows) == 75
+
+
+def test_orders_go_on_to_the_last_budget(spark, many_suppliers):
+    n = min(catalog.MAX_BUDGET, catalog.Data(spark, many_suppliers).edges.count())
+    for name in ("oracle_picks", "greedy_picks_intended"):
+        assert catalog.queries()[name](spark, many_suppliers).count() == n > 400
