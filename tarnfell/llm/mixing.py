@@ -1,89 +1,99 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The rows of a source, in a seeded order, are cut into blocks of ``block_rows``.  With integer
-weights a of the sources that still have blocks, A their sum, the j-th block of a source has
-release floor((j-1)A/a) and deadline ceil(jA/a), and slot after slot the released block with the
-earliest deadline is taken.  After A slots every source is exactly on target, so the pattern of one
-period holds for all of them, and any prefix deviates from the targets by less than one block of
-any source.  When a source has run out, a new phase begins with the weights of the others, again
-on target from there on.  Every row is kept, once.
-
-Only the totals per source come to the driver, where one period of each phase is laid out (as many
-phases as sources at most); the rows find their slots by two joins against that bounded table.
+The rows of a source, in a seeded order, are cut into blocks of ``block_rows``.  With the exact
+weights a of the sources that still have blocks (floats as the fractions they are), A their sum, the
+j-th block of a source has release floor((j-1)A/a) and deadline ceil(jA/a), and slot after slot the
+released block with the earliest deadline is taken, so any prefix deviates from the given targets by
+less than one block of any source.  When a source has run out, a new phase begins with the weights
+of the others, again on target from there on.  Every row is kept, once.
+
+Only the totals per source come to the driver, which lays out the blocks (a row of numbers for each
+``block_rows`` rows); the rows find their slots by a join against that table.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
-
-import pandas as pd
+import math
+from array import array
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 64
-DENOMINATOR = 1000
 #: Sources are the declared parts of a mix; more than this is a mistake of the caller's.
 MAX_SOURCES = 1024
 #: Rows of one source that one task puts in order.
 BUCKET_ROWS = 2000
+#: The table of blocks is broadcast up to this length.
+BROADCAST_BLOCKS = 1 << 20
 #: Without given weights, a source's weight is its share of the rows to this power.
 TEMPERATURE_POWER = 0.5
 
 
-def pattern(weights: list[int]) -> list[int]:
-    """Slot by slot, the source taken in one period of sum(weights) slots."""
+def earliest(weights: list[int]) -> Iterator[tuple[int, int, int]]:
+    """Slot by slot without end: the source taken, its block's release and its deadline."""
     total, taken = sum(weights), [0] * len(weights)
     waiting = [(0, i) for i, a in enumerate(weights) if a]
     heapq.heapify(waiting)
-    ready: list[tuple[int, int]] = []
-    out = []
-    for slot in range(total):
+    ready: list[tuple[int, int, int]] = []
+    slot = 0
+    while waiting or ready:
         while waiting and waiting[0][0] <= slot:
-            i = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-(-(taken[i] + 1) * total // weights[i]), i))
-        i = heapq.heappop(ready)[1]
-        out.append(i)
+            release, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(taken[i] + 1) * total // weights[i]), i, release))
+        deadline, i, release = heapq.heappop(ready)
+        yield i, release, deadline
         taken[i] += 1
-        if taken[i] < weights[i]:
-            heapq.heappush(waiting, (taken[i] * total // weights[i], i))
-    return out
+        slot += 1
+        heapq.heappush(waiting, (taken[i] * total // weights[i], i))
+
+
+def pattern(weights: list[int]) -> list[int]:
+    """Slot by slot, the source taken in one period of sum(weights) slots."""
+    return [i for i, _, _ in islice(earliest(weights), sum(weights))]
 
 
-def integer_weights(weights: list[float], denominator: int = DENOMINATOR) -> list[int]:
+def integer_weights(weights: list[float], denominator: int) -> list[int]:
     """Positive weights as integers that sum to about the denominator, none below 1."""
     total = sum(weights)
     return [max(1, round(denominator * w / total)) for w in weights]
 
 
-def phases(blocks: list[int], weights: list[int]) -> list[dict]:
-    """One dict per phase: base slot, length, sources, weights, one period, and blocks used before."""
-    left, used, base, out = list(blocks), [0] * len(blocks), 0, []
+COLUMNS = ("src", "block", "phase", "release", "deadline")
+
+
+def schedule(blocks: list[int], weights: list[float]) -> dict[str, array]:
+    """COLUMNS of every slot: the sources' blocks by their exact weights."""
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*(w.denominator for w in exact)) if exact else 1
+    whole = [int(w * scale) for w in exact]
+    out = {c: array("q") for c in COLUMNS}
+    left, phase = list(blocks), 0
     while any(left):
-        active = [i for i, n in enumerate(left) if n]
-        a = [weights[i] for i in active]
-        period = pattern(a)
-        whole = max(0, min(-(-left[i] // w) for i, w in zip(active, a)) - 1)
-        for i, w in zip(active, a):
-            left[i] -= whole * w
-        before, slots = dict(zip(active, [used[i] for i in active])), whole * len(period)
-        for k in period:
-            left[active[k]] -= 1
-            slots += 1
-            if not left[active[k]]:
+        active, base = [i for i, n in enumerate(left) if n], len(out["src"])
+        for k, release, deadline in earliest([whole[i] for i in active]):
+            i = active[k]
+            for c, x in zip(COLUMNS, (i, blocks[i] - left[i], phase, base + release, base + deadline)):
+                out[c].append(x)
+            left[i] -= 1
+            if not left[i]:
                 break
-        for i in active:
-            used[i] = blocks[i] - left[i]
-        out.append({"base": base, "slots": slots, "active": active, "weights": a, "period": period, "before": before, "after": {i: used[i] for i in active}})
-        base += slots
+        phase += 1
     return out
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, denominator: int = DENOMINATOR, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, denominator: int | None = None, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """row (struct of docs' columns) and its place: source, block, slot, phase, weight, release, deadline, place.
 
     ``place`` is the row's position within its block, so (slot, place) is the training order.
     weights must name every source with a positive number; a null source is a source of its own.
+    They hold exactly, unless a denominator asks for whole weights that sum to about it.
     Within a source the order is that of a seeded hash of the id (ties by id; rows with equal ids
     are interchangeable); a null id hashes like any other.  An empty table gives no rows.  docs'
     columns travel inside ``row``, so their names can't clash with these.
@@ -111,32 +121,21 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bloc
         if missing := [s for s in names if not weights.get(s, 0) > 0]:
             raise ValueError(f"no positive weight for {missing[:5]}")
         share = [float(weights[s]) for s in names]
-    whole = integer_weights(share, max(denominator, 2 * len(names))) if names else []
-    spans, steps = [], []
-    for p, x in enumerate(phases([-(-n // block_rows) for _, n in totals], whole)):
-        place: dict[int, int] = {}
-        for slot, k in enumerate(x["period"]):
-            place[k] = place.get(k, 0) + 1
-            steps.append((p, x["active"][k], place[k] - 1, slot))
-        spans += [(names[i], i, p, x["before"][i], x["after"][i], x["base"], w, len(x["period"])) for i, w in zip(x["active"], x["weights"])]
-    spans_df = spark.createDataFrame(spans, "s string, src int, phase int, lo long, hi long, base long, weight int, period int")
-    steps_df = spark.createDataFrame(pd.DataFrame(steps, columns=["phase", "src", "nth", "at"]).astype("int64") if steps else [], "phase int, src int, nth long, at long")
+    if denominator is not None and names:
+        share = [float(w) for w in integer_weights(share, max(denominator, 2 * len(names)))]
+    laid = schedule([-(-n // block_rows) for _, n in totals], share)
+    n_slots = len(laid["src"])
+    sources_df = spark.createDataFrame(list(zip(names, range(len(names)), share)), "s string, src long, weight double")
+    table = pa.table({c: pa.array(np.frombuffer(x, np.int64) if x else [], pa.int64()) for c, x in laid.items()} | {"slot": pa.array(np.arange(n_slots), pa.int64())})
+    slots_df = spark.createDataFrame(table).withColumn("phase", F.col("phase").cast("int"))
+    if n_slots <= BROADCAST_BLOCKS:
+        slots_df = F.broadcast(slots_df)
     order = Window.partitionBy("source", "_bucket").orderBy("_h", "_id")
     ranked = packed.join(sizes.drop("n"), ["source", "_bucket"]).withColumn("rank", F.col("_ahead") + F.row_number().over(order) - 1)
     ranked = ranked.select("row", F.col("source.s").alias("s"), F.floor(F.col("rank") / block_rows).alias("block"), (F.col("rank") % block_rows).alias("place"))
-    # both tables are bounded by MAX_SOURCES (phases x sources; phases x slots of one period)
-    r, t = ranked.alias("r"), F.broadcast(spans_df).alias("t")
-    held = r.join(t, F.col("r.s").eqNullSafe(F.col("t.s")) & (F.col("block") >= F.col("lo")) & (F.col("block") < F.col("hi")))
-    nth = F.col("block") - F.col("lo")
-    held = held.select("row", F.col("r.s").alias("source"), "block", "place", "phase", "src", "base", "weight", "period", (nth % F.col("weight")).alias("nth"), F.floor(nth / F.col("weight")).alias("round"), nth.alias("_nth"))
-    held = held.join(F.broadcast(steps_df), ["phase", "src", "nth"])
-    return held.select(
-        "row", "source", "block",
-        (F.col("base") + F.col("round") * F.col("period") + F.col("at")).alias("slot"),
-        "place", "phase", "weight",
-        (F.col("base") + F.floor(F.col("_nth") * F.col("period") / F.col("weight"))).alias("release"),
-        (F.col("base") + F.ceil((F.col("_nth") + 1) * F.col("period") / F.col("weight"))).alias("deadline"),
-    )
+    r, t = ranked.alias("r"), F.broadcast(sources_df).alias("t")  # a row a source
+    held = r.join(t, F.col("r.s").eqNullSafe(F.col("t.s"))).select("row", F.col("r.s").alias("source"), "block", "place", "src", "weight")
+    return held.join(slots_df, ["src", "block"]).select("row", "source", "block", "slot", "place", "phase", "weight", "release", "deadline")
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:
