@@ -42,11 +42,19 @@ PATTERNS = ["shouting", "exclaiming", "insulting"]
 _INSULT = re.compile(r"\byou(?:'re| are)? (?:a |an |such |so |all |just )*(?:" + "|".join(LEXICON) + r")\b", re.IGNORECASE)
 
 
+#: By code point: whether it is a capital.
+_UPPER = np.fromiter((chr(c).isupper() for c in range(0x110000)), bool, 0x110000)
+
+
+def _capitals(text: str) -> int:
+    return int(np.count_nonzero(_UPPER[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]))
+
+
 def _patterns(text: str) -> list[bool]:
     """Of PATTERNS: mostly capitals, many exclamation marks, an insult aimed at the reader."""
     letters = len(text) or 1
     return [
-        len(text) >= 20 and sum(map(str.isupper, text)) > 0.6 * letters if text[:40].isupper() else False,
+        len(text) >= 20 and _capitals(text) > 0.6 * letters,
         text.count("!") > max(3, 0.02 * letters),
         "you" in text.lower() and _INSULT.search(text) is not None,
     ]
