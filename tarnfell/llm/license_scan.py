@@ -11,6 +11,7 @@ of the state there and the match is as long as the phrase.
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -170,7 +171,7 @@ class Scanner:
         }
 
     def _chain(self, matches: list[tuple[int, int, int]]) -> list[dict]:
-        """Chains of matches in which text and template both advance, per template, best first word first."""
+        """Per template the chains of matches that share no word, best first, by first word."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for i, n, v in matches:
             for t, end in self.ends[v]:
@@ -179,24 +180,41 @@ class Scanner:
         for t, parts in by.items():
             label, size = self.templates[t]
             parts.sort()
-            best: list[tuple[int, int]] = []  # covered words, first word of the chain
-            for k, (a, x, n) in enumerate(parts):
-                top = (n, a)
-                for j in range(k - 1, -1, -1):
-                    b, y, m = parts[j]
-                    if a - b > size + MAX_GAP * size:
+            taken: list[tuple[int, int]] = []  # first and last words, in order
+
+            def free(first: int, last: int) -> bool:
+                k = bisect_right(taken, (last, last))
+                return (k == 0 or taken[k - 1][1] < first) and (k == len(taken) or taken[k][0] > last)
+
+            while parts:  # a chain that loses words to a better one may still be long enough without them
+                before = len(taken)
+                for (a, _, n), (covered, first) in sorted(zip(parts, self._best(parts, size)), key=lambda z: (-z[1][0], z[0][0])):
+                    if covered < max(MIN_WORDS, MIN_COVER * size):
                         break
-                    lap = max(0, b + m - a, y + m - x)
-                    if a > b and x > y and lap < n and a - (b + m) <= MAX_GAP and x - (y + m) <= MAX_GAP:
-                        top = max(top, (best[j][0] + n - lap, best[j][1]), key=lambda z: (z[0], z[1]))
-                best.append(top)
-            taken = -1
-            for (a, x, n), (covered, first) in sorted(zip(parts, best), key=lambda z: (-z[1][0], z[0][0])):
-                if covered >= max(MIN_WORDS, MIN_COVER * size) and (taken < 0 or covered == size):
-                    spans.append({"label": label, "template": t, "first_word": first, "last_word": a + n - 1, "cover": min(1.0, covered / size)})
-                    taken = t
+                    if free(first, a + n - 1):
+                        insort(taken, (first, a + n - 1))
+                        spans.append({"label": label, "template": t, "first_word": first, "last_word": a + n - 1, "cover": min(1.0, covered / size)})
+                if len(taken) == before:
+                    break
+                parts = [p for p in parts if free(p[0], p[0] + p[2] - 1)]
         return sorted(spans, key=lambda s: (s["first_word"], s["template"], s["last_word"]))
 
+    @staticmethod
+    def _best(parts: list[tuple[int, int, int]], size: int) -> list[tuple[int, int]]:
+        """Covered words and first word of the best chain that ends with each part: text and template both advance."""
+        best: list[tuple[int, int]] = []
+        for k, (a, x, n) in enumerate(parts):
+            top = (n, a)
+            for j in range(k - 1, -1, -1):
+                b, y, m = parts[j]
+                if a - b > size + MAX_GAP * size:
+                    break
+                lap = max(0, b + m - a, y + m - x)
+                if a > b and x > y and lap < n and a - (b + m) <= MAX_GAP and x - (y + m) <= MAX_GAP:
+                    top = max(top, (best[j][0] + n - lap, best[j][1]), key=lambda z: (z[0], z[1]))
+            best.append(top)
+        return best
+
 
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, template: int, first_word: long, last_word: long, cover: double>>"
 
