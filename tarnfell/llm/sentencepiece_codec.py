@@ -2,11 +2,17 @@
 
 A text is a lattice of vocabulary pieces.  Forward Viterbi scores give the best segmentation, and
 they are the exact heuristic of an A* search backward from the end, which therefore pops the n best
-paths in order.  As no piece reaches over the start of a word, the lattice of a text is a row of
-small ones: Viterbi runs over the distinct words of a batch at once (and gives, by forward and
-backward scores, how much the second-best path of each loses), A* runs where a word can take part
-in the n best of a text, and the words' lists are merged.  That merge is exact, as a text's n best
-paths leave the best one at most at the n - 1 words that lose least.
+paths in order.  Scores are multiples of SCORE_STEP, so sums are exact in any order and equally good
+paths are known as such: of those the search goes on with the one that has come furthest, and as
+every open path leads to a whole one of just its score, no more are kept open than results are
+still wanted.  A word of k characters therefore takes at most n * k steps, whatever it repeats.
+
+As no piece reaches over the start of a word, the lattice of a text is a row of small ones: Viterbi
+runs over the distinct words of a batch at once (and gives, by forward and backward scores, how much
+the second-best path of each loses), A* runs where a word can take part in the n best of a text, and
+the words' lists are merged.  That merge is exact, as a text's n best paths leave the best one at
+most at the n - 1 words that lose least.  Words of more than WIDE characters are first cut wherever
+no piece holds the two characters side by side, as no path goes over such a place either.
 
 The vocabulary is read from a model file whose path is a parameter; nothing is trained.  Where the
 scores are merge ranks (a BPE model), a piece of rank r scores -ln(r + 2) - ln(H), H the sum of
@@ -17,8 +23,8 @@ Characters outside the vocabulary become byte pieces.  Control strings in a text
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +36,10 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: A character outside the vocabulary scores this much below the worst piece, for each byte.
 UNKNOWN_PENALTY = 10.0
-#: Words that are remembered between batches, and the longest that are worked on in numpy.
-CACHE_WORDS = 400_000
+#: Scores are rounded to this, exact for sums up to 2**29.
+SCORE_STEP = 2.0**-24
+#: Words that are remembered between batches, with their characters, and the longest that are worked on in numpy.
+CACHE_WORDS, CACHE_CHARS = 400_000, 16 << 20
 WIDE = 40
 _SPACE = "▁"
 #: Stands for a space mark that is part of a text; as a lone surrogate it can't be in one.
@@ -49,11 +57,16 @@ class Vocabulary:
             ranks = np.empty(len(raw))
             ranks[np.argsort(-raw, kind="stable")] = np.arange(len(raw)) + 2
             raw = -np.log(ranks) - np.log((1 / ranks).sum())
+        raw = np.round(raw / SCORE_STEP) * SCORE_STEP
         self.scores = np.full(len(pieces), -np.inf)
         self.scores[normal] = raw
         self.floor = float(raw.min()) - UNKNOWN_PENALTY if len(raw) else -UNKNOWN_PENALTY
         self.ids = {pieces[i]: i for i in normal if pieces[i]}
         self.longest = max(map(len, self.ids), default=1)
+        self.begins = {p[:k] for p in self.ids for k in range(2, len(p) + 1)}
+        self.ends = {p[k:] for p in self.ids for k in range(len(p) - 1)}
+        self.steps = {p: (float(self.scores[i]), [i]) for p, i in self.ids.items()}
+        self.side_by_side = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         lone = set()
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         for c in map(chr, range(128)):
@@ -90,48 +103,78 @@ class Vocabulary:
     def words(self, text: str) -> list[str]:
         """The independent parts of a text, with the space mark in front and for every space."""
         # a mark that is in the text goes by the stand-in and is written as bytes
-        return self.cut.findall(_SPACE + text.replace(_SPACE, STAND_IN).replace(" ", _SPACE))
+        found = self.cut.findall(_SPACE + text.replace(_SPACE, STAND_IN).replace(" ", _SPACE))
+        if max(map(len, found)) <= WIDE:
+            return found
+        out: list[str] = []
+        for word in found:
+            out += self._apart(word) if len(word) > WIDE else [word]
+        return out
+
+    def _apart(self, word: str) -> list[str]:
+        """A word cut where no piece holds the two characters side by side."""
+        held = self.side_by_side
+        at = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in held), len(word)]
+        return [word[a:b] for a, b in zip(at, at[1:])]
 
     def single(self, c: str) -> tuple[float, list[int]]:
         """Score and ids of one character that no other piece need help with."""
-        i = self.ids.get(c)
-        if i is not None:
-            return float(self.scores[i]), [i]
+        known = self.steps.get(c)
+        if known is not None:
+            return known
         raw = (_SPACE if c == STAND_IN else c).encode()
         return self.floor * len(raw), [self.byte_ids[b] for b in raw]
 
-    def edges(self, word: str) -> list[list[tuple[int, float, list[int]]]]:
-        """By end position: (start, score, ids) of the pieces that end there."""
-        out: list[list[tuple[int, float, list[int]]]] = [[] for _ in range(len(word) + 1)]
-        for a in range(len(word)):
-            score, ids = self.single(word[a])
-            out[a + 1].append((a, score, ids))
-            for b in range(a + 2, min(len(word), a + self.longest) + 1):
-                i = self.ids.get(word[a:b])
-                if i is not None:
-                    out[b].append((a, float(self.scores[i]), [i]))
+    def ending(self, word: str, b: int) -> list[tuple[int, float, list[int]]]:
+        """(start, score, ids) of the pieces that end at b."""
+        out = [(b - 1, *self.single(word[b - 1]))] if b else []
+        for a in range(b - 2, -1, -1):
+            part = word[a:b]
+            if part not in self.ends:
+                break
+            if part in self.steps:
+                out.append((a, *self.steps[part]))
         return out
 
+    def forward(self, word: str) -> list[float]:
+        """The best score up to each place (Viterbi)."""
+        n, begins, steps = len(word), self.begins, self.steps
+        ahead = [0.0] + [-np.inf] * n
+        for a in range(n):
+            so_far = ahead[a]
+            ahead[a + 1] = max(ahead[a + 1], so_far + self.single(word[a])[0])
+            for b in range(a + 2, n + 1):
+                part = word[a:b]
+                if part not in begins:
+                    break
+                if part in steps and so_far + steps[part][0] > ahead[b]:
+                    ahead[b] = so_far + steps[part][0]
+        return ahead
+
     def n_best(self, word: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations by backward A*, its heuristic the forward Viterbi score."""
-        edges = self.edges(word)
-        ahead = [0.0] * len(edges)
-        for b in range(1, len(edges)):
-            ahead[b] = max(ahead[a] + s for a, s, _ in edges[b])
-        heap = [(-ahead[-1], 0, 0.0, len(word), None)]
+        ahead = self.forward(word)
+        # open paths, best last: (score of the best whole path, -place, -tick, score behind, path);
+        # each leads to a whole path of its own with just that score, so as many as are wanted will do
+        front: list[tuple] = [(ahead[-1], -len(word), 0, 0.0, None)]
         out, tick = [], 0
-        while heap and len(out) < n:
-            _, _, behind, at, path = heapq.heappop(heap)
-            if not at:
-                ids = []
+        while front and len(out) < n:
+            _, place, _, behind, path = front.pop()
+            if not place:
+                ids: list[int] = []
                 while path:
                     ids += path[0]
                     path = path[1]
                 out.append((behind, ids))
                 continue
-            for a, s, ids in edges[at]:
-                tick += 1
-                heapq.heappush(heap, (-(ahead[a] + s + behind), tick, s + behind, a, (ids, path)))
+            for a, s, ids in self.ending(word, -place):
+                whole = ahead[a] + s + behind
+                if len(front) >= n - len(out):
+                    if (whole, -a) <= front[0][:2]:
+                        continue
+                    del front[0]
+                tick -= 1
+                insort(front, (whole, -a, tick, s + behind, (ids, path)))
         return out
 
 
@@ -152,6 +195,7 @@ class Encoder:
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
         self.known: list[str] = []
+        self.chars = 0
         self.score, self.loss = np.zeros(0), np.zeros(0)
         self.at, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
         self.lists: dict[int, list[tuple[float, list[int]]]] = {}
@@ -170,7 +214,7 @@ class Encoder:
             if length > WIDE or not all(map(_plain, (new[k] for k in members))):
                 wide = members if length > WIDE else [k for k in members if not _plain(new[k])]
                 for k in wide:
-                    found = self.vocabulary.n_best(new[k], 2)
+                    found = self.lists[len(self.score) + k] = self.vocabulary.n_best(new[k], max(2, self.n))
                     score[k], ids[k] = found[0][0], np.array(found[0][1], np.int32)
                     if len(found) > 1:
                         loss[k] = found[0][0] - found[1][0]
@@ -252,7 +296,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[tuple[float, list[tuple[int, int, list[int]]]]]]]:
         """Per text: ids of the best segmentation, and the n best as (score, edits of those ids)."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self._forget()
         index, rows = self.index, []
         for text in texts:
@@ -265,6 +309,7 @@ class Encoder:
                         if c is None:
                             c = index[words[k]] = len(self.known)
                             self.known.append(words[k])
+                            self.chars += len(words[k])
                         row[k] = c
             rows.append(np.array(row, np.int64))
         self._learn()
@@ -289,10 +334,12 @@ class Encoder:
                 c = int(row[k])
                 if c not in self.lists:
                     self.lists[c] = self.vocabulary.n_best(self.known[c], self.n)
-                options = self.lists[c]
-                grown = list(paths)
+                # of equally good paths, the one that stands in the best segmentation need not come first here
+                own = self.flat[self.at[c] : self.at[c + 1]].tolist()
+                options = [o for o in self.lists[c] if o[1] != own][: self.n - 1]
+                top, grown = float(self.score[c]), list(paths)
                 for lost, edits in paths:
-                    grown += [(lost + options[0][0] - s, [*edits, (int(starts[k]), int(lens[k]), ids)]) for s, ids in options[1:]]
+                    grown += [(lost + top - s, [*edits, (int(starts[k]), int(lens[k]), ids)]) for s, ids in options]
                 paths = sorted(grown, key=lambda p: p[0])[: self.n]
         return [(best - lost, edits) for lost, edits in paths]
 

@@ -7,6 +7,7 @@ import os
 import random
 import re
 import struct
+import time
 import zlib
 from itertools import product
 
@@ -223,12 +224,11 @@ def vocabulary():
 
 def paths(vocabulary, word):
     """All segmentations of a word, best first."""
-    edges = vocabulary.edges(word)
 
     def ending(b):
         if not b:
             yield 0.0, []
-        for a, s, ids in edges[b]:
+        for a, s, ids in vocabulary.ending(word, b):
             for t, more in ending(a):
                 yield t + s, more + ids
 
@@ -248,6 +248,37 @@ def test_n_best_is_that_of_brute_force(vocabulary, text):
     assert len(set(map(tuple, every))) == len(every) and all(codec.decode_ids(vocabulary, e) == text for e in every)
 
 
+@needs_model
+@settings(max_examples=60, deadline=None)
+@given(st.sampled_from(["a", "A", "x", "ab", " ", "=", "the", "é", "\0", "no"]), st.integers(1, 12), st.integers(1, 6), st.sampled_from([3, codec.WIDE]))
+def test_n_best_of_repeats_is_that_of_brute_force(vocabulary, unit, times, n, wide):
+    text = (unit * times)[:14]
+    whole = paths(vocabulary, "▁" + text.replace(" ", "▁"))[:n]
+    held, codec.WIDE = codec.WIDE, wide  # short words take the long words' way too
+    try:
+        ids, best = next(codec.Encoder(vocabulary, n).encode([text]))
+    finally:
+        codec.WIDE = held
+    assert [s for s, _ in best] == [s for s, _ in whole]  # scores add up exactly, in any order
+    every = [codec.edited(ids, e) for _, e in best]
+    assert len(set(map(tuple, every))) == len(every) and all(codec.decode_ids(vocabulary, e) == text for e in every)
+
+
+@needs_model
+def test_long_words_end_in_time(vocabulary):
+    rng = random.Random(3)
+    words = [c * n for c in "Ax =é\0" for n in (1, 2, 37, 400, 20_000)]
+    words += ["ab" * 10_000, "xX" * 10_000, "=-" * 10_000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1 << 20)), "A" * (1 << 20)]
+    began = time.process_time()
+    for word in words:
+        ids, best = next(codec.Encoder(vocabulary).encode([word]))
+        assert codec.decode_ids(vocabulary, ids.tolist()) == word
+        every = [codec.edited(ids, e) for _, e in best]
+        assert len(set(map(tuple, every))) == len(every) and all(codec.decode_ids(vocabulary, e) == word for e in every)
+        assert [s for s, _ in best] == sorted((s for s, _ in best), reverse=True)
+    assert time.process_time() - began < 60
+
+
 @needs_model
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=60))
