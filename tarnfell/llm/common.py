@@ -33,6 +33,25 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Parts that a sample is gathered in; the driver holds one of them beside what it has taken.
+SAMPLE_PARTS = 32
+
+
+def gather_sample(rows: DataFrame, text: str, most_rows: int, most_bytes: int) -> list[tuple]:
+    """Distinct rows, sorted, in an order of hashes until there are most_rows or most_bytes of text.
+
+    Which rows these are depends on their content only, whatever ids repeat and however rows lie.
+    """
+    parts = rows.distinct().repartition(SAMPLE_PARTS, text).sortWithinPartitions(F.xxhash64(text), *rows.columns)
+    at, out, weight = rows.columns.index(text), [], 0
+    for row in parts.toLocalIterator():
+        weight += len(row[at].encode())
+        if len(out) == most_rows or weight > most_bytes:
+            break
+        out.append(tuple(row))
+    return sorted(out)
+
+
 #: A class with more than this share of all rows joins by broadcast; there are at most 1 / share such.
 HOT_SHARE = 0.001
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import gather_sample
 from .text_hash import _strings
 
 #: Bytes that are worked on at a time, and texts.
@@ -35,6 +36,8 @@ RATE = 20.0
 SAMPLE_ROWS = 4000
 #: Longer texts are not sampled for fitting (they are predicted like any other).
 SAMPLE_TEXT_BYTES = 1 << 16
+#: All texts of the sample together; beyond it the sample has fewer rows.
+SAMPLE_BYTES = 48 << 20
 VALIDATION_SHARE = 0.2
 REJECT_RATE = 0.001
 ABOVE_CHANCE = 0.1
@@ -186,7 +189,7 @@ def train(rows: list[tuple[str, str]], seed: int = 0) -> Model:
 
 
 def sample(docs: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """At most about ``rows`` labelled texts for fitting, an even share of them for each language."""
+    """At most about ``rows`` labelled texts for fitting, an even share of them for each language, and at most SAMPLE_BYTES."""
     labelled = docs.where(learn_from & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_TEXT_BYTES))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()}
     if not counts:
@@ -195,8 +198,8 @@ def sample(docs: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS, id_col:
     scale = 1 << 30
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(scale * min(1.0, each / n)))])
     draw = F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(scale))
-    picked = labelled.where(draw < F.coalesce(share[F.col(lang_col)], F.lit(0))).select(text_col, lang_col).limit(2 * rows)
-    return sorted((r[0], r[1]) for r in picked.collect())
+    picked = labelled.where(draw < F.coalesce(share[F.col(lang_col)], F.lit(0))).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
+    return gather_sample(picked, "text", 2 * rows, SAMPLE_BYTES)
 
 
 def fit(docs: DataFrame, learn_from: Column, **options) -> Model:

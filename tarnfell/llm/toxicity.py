@@ -5,7 +5,8 @@ bounded labelled sample, and patterns of typing.  A generative label model estim
 maximisation how often each voter fires on toxic and on other texts, and from the covariance that
 is left within the classes which voters say the same thing twice, so that they share a vote.  Its
 posterior for each sampled text is the soft label on which a linear classifier over the voters is
-trained; the classifier alone scores the corpus.
+trained; the classifier alone scores the corpus.  The labels of the sample mine voters and are half
+of every round's posteriors (ANCHOR); the voters' agreement is the other half.
 """
 
 from __future__ import annotations
@@ -21,11 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import gather_sample
+
 # The seed lexicon.
 LEXICON = ["clown", "disgusting", "dumb", "fool", "garbage", "idiot", "idiotic", "loser", "moron", "pathetic", "scum", "shut", "stupid", "trash", "vermin", "worthless"]
 SAMPLE_ROWS = 8000
 #: Longer texts are not sampled for fitting (they are scored like any other).
 SAMPLE_TEXT_BYTES = 1 << 16
+#: All texts of the sample together; beyond it the sample has fewer rows.
+SAMPLE_BYTES = 48 << 20
 #: Code points of the word beginnings that mining looks at.
 STEMS = (4, 5, 6, 7, 8, 9)
 MINED = 160
@@ -36,6 +41,7 @@ CHANCE = 0.01
 EM_ROUNDS = 60
 #: Voters whose firing is this correlated within the classes share a vote when both fire.
 CORRELATED = 0.35
+#: Share of the known labels in every round's posteriors.
 ANCHOR = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 PATTERNS = ["shouting", "exclaiming", "insulting"]
@@ -181,8 +187,7 @@ def fit_label_model(fired: np.ndarray, weights: np.ndarray, prior: float, labels
     Voters that hardly ever fire together say little about each other, so the known labels anchor
     the accuracies: they are the first posteriors, and ANCHOR of the weight in every round.
     """
-    anchor = np.clip(labels, 0.02, 0.98)
-    p = anchor
+    p = anchor = np.clip(labels, 0.02, 0.98)
     quiet = (~fired.any(1)).astype(np.float64)
     m = fired.shape[1]
     model = LabelModel(prior, np.full(2, 0.5), np.full((2, m), 0.5), np.zeros((m, m)))
@@ -257,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Callable[[Column], Colum
     """Learns from documents that have a label in labels and an id that learn_from admits.
 
     At most about ``rows`` are sampled, by a hash of the id, half of either label where there are
-    enough; texts over SAMPLE_TEXT_BYTES are not.  Of contradicting labels of one id the higher
+    enough, and at most SAMPLE_BYTES; texts over SAMPLE_TEXT_BYTES are not.  Of contradicting labels of one id the higher
     counts; labels other than 0 and 1 are none.  No other column of docs is an input.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(learn_from(F.col("_id")) & F.col("_y").isin(0, 1))
@@ -266,10 +271,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Callable[[Column], Colum
     scale = 1 << 30
     draw = F.pmod(F.xxhash64(F.lit("fit"), F.col("_id")), F.lit(scale))
     bound = {y: int(scale * min(1.0, rows / 2 / max(1, n.get(y, 0)))) for y in (0, 1)}
-    drawn = known.where(draw < F.when(F.col("_y") == 1, bound[1]).otherwise(bound[0])).limit(2 * rows)
+    drawn = known.where(draw < F.when(F.col("_y") == 1, bound[1]).otherwise(bound[0])).orderBy(draw, "_id").limit(2 * rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).where(F.octet_length("_text") <= SAMPLE_TEXT_BYTES)
-    picked = texts.join(F.broadcast(drawn), "_id").select("_text", "_y").limit(2 * rows).collect()
-    return train(sorted({(r["_text"], r["_y"]) for r in picked}), n.get(1, 0), n.get(0, 0))
+    picked = gather_sample(texts.join(F.broadcast(drawn), "_id").select("_text", "_y"), "_text", 2 * rows, SAMPLE_BYTES)
+    return train(picked, n.get(1, 0), n.get(0, 0))
 
 
 def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

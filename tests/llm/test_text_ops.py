@@ -346,6 +346,44 @@ def test_label_model_shares_the_vote_of_copies():
     assert p[0] > p[2] > p[3] and abs(p[1] - p[2]) < 0.1
 
 
+def test_label_model_and_scores_are_those_of_brute_force():
+    rows = _toxic(300)
+    model = toxicity.train(rows, sum(y for _, y in rows), sum(1 - y for _, y in rows))
+    texts = [t for t, _ in rows[:40]] + ["You are an IDIOT, you clown!!!! " * 3, "zorqual zorqel", "", "THE END OF ALL THIS SHOUTING"]
+    for text, vote, score in zip(texts, map(model.voters.votes, texts), model.score(texts)):
+        words, want = re.findall(r"[^\W\d_]+", text.lower()), np.zeros(len(model.voters))
+        for w, k in model.voters.words.items():
+            want[k] = words.count(w)
+        for w, k in model.voters.stems.items():
+            want[k] = sum(x.startswith(w) for x in words)
+        want[-3] = len(text) >= 20 and sum(c.isupper() for c in text) > 0.6 * len(text)
+        want[-2] = text.count("!") > max(3, 0.02 * len(text))
+        want[-1] = re.search(r"\byou(?:'re| are)? (?:a |an |such |so |all |just )*(?:" + "|".join(toxicity.LEXICON) + r")\b", text, re.I) is not None
+        assert vote.tolist() == want.tolist()
+        x = [*(want > 0), np.log1p((want > 0).sum()), np.log1p(want.sum())]
+        assert np.isclose(score, 1 / (1 + np.exp(-sum(a * b for a, b in zip(x, model.weights)) - model.bias)))
+    rng = np.random.default_rng(8)
+    fired = (rng.random((50, 6)) < 0.3).astype(float)
+    lm = toxicity.LabelModel(0.2, np.array([0.7, 0.2]), rng.uniform(0.05, 0.9, (2, 6)), np.array([[0.5 * (a != b and a + b == 5) for a in range(6)] for b in range(6)]))
+    for row, p in zip(fired, lm.posterior(fired)):  # voter by voter
+        shift = np.log((1 - lm.silent[1]) / (1 - lm.silent[0]))
+        gain = np.log(0.2 / 0.8) + (shift if row.any() else np.log(lm.silent[1] / lm.silent[0]))
+        for k in np.flatnonzero(row):
+            gain += (np.log(lm.fires[1, k] / lm.fires[0, k]) - shift) / (1 + sum(lm.same[j, k] for j in np.flatnonzero(row)))
+        assert np.isclose(p, 1 / (1 + np.exp(-gain)))
+
+
+def test_samples_are_bounded_and_depend_on_content_only(spark, monkeypatch):
+    rows = [(k % 3, f"text {k % 50} " + "x" * (k % 50), "aa") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [language_id.sample(df.repartition(n), F.lit(True), rows=1000) for n in (1, 5)]
+    assert got[0] == got[1] == sorted({(t, lang) for _, t, lang in rows})
+    assert len(language_id.sample(df, F.lit(True), rows=10)) <= 20
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 500)
+    few = [language_id.sample(df.repartition(n), F.lit(True), rows=1000) for n in (1, 5)]
+    assert few[0] == few[1] and 0 < sum(len(t) for t, _ in few[0]) <= 500 and set(few[0]) < set(got[0])
+
+
 def test_toxicity_edge_cases(spark):
     for rows in ([], _toxic(60), [("fine text", 0)] * 5, [("bad idiot", 1)] * 5):
         model = toxicity.train(rows, sum(y for _, y in rows), sum(1 - y for _, y in rows))
