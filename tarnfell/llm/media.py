@@ -1,9 +1,11 @@
 """Media columns over ISO base media files.
 
-``media_index`` walks the nested boxes of a file, decodes the sample tables and stores codec,
-duration and the byte ranges of key frames; no payload is decoded.  ``mux`` writes bytes as such a
-file: a video track of raw 8x8 grey frames, so one sample is 64 bytes and the bytes are stored as
-they are; ``payload`` reads them back through the sample tables.
+``media_index`` walks the nested boxes of a file, decodes the sample tables of every track, those of
+the movie and those of its fragments, and stores codec, duration and the byte ranges of key frames;
+no payload is decoded.  Times are those of presentation: decode times, composition offsets, and the
+edit list's start.  ``mux`` writes bytes as such a file: a video track of raw 8x8 grey frames, so one
+sample is 64 bytes and the bytes are stored as they are; ``payload`` reads them back through the
+sample tables.
 """
 
 from __future__ import annotations
@@ -32,8 +34,16 @@ class MediaError(ValueError):
     """The bytes are not a file that can be indexed."""
 
 
+#: Fixed values of the format: flags of the boxes tfhd and trun, and of a sample that needs others.
+TFHD_BASE, TFHD_ENTRY, TFHD_DURATION, TFHD_SIZE, TFHD_FLAGS, TFHD_BASE_IS_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+TRUN_OFFSET, TRUN_FIRST_FLAGS, TRUN_DURATION, TRUN_SIZE, TRUN_FLAGS, TRUN_COMPOSITION = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+SAMPLE_DEPENDS = 0x10000
+
+
 @dataclass
 class MediaIndex:
+    """One track: its samples in decode order, with times in units of the timescale."""
+
     codec: str
     timescale: int
     duration: int
@@ -41,11 +51,16 @@ class MediaIndex:
     sizes: np.ndarray
     times: np.ndarray
     keys: np.ndarray  # positions of key frames
+    track: int = 0
+    handler: str = ""
 
     @property
     def duration_ms(self) -> float:
         return 1000.0 * self.duration / self.timescale if self.timescale else 0.0
 
+    def time_ms(self, sample: int) -> float:
+        return 1000.0 * float(self.times[sample]) / self.timescale if self.timescale else 0.0
+
 
 def boxes(data, start: int = 0, end: int | None = None) -> Iterator[tuple[bytes, int, int]]:
     """(type, first byte of the content, end) of the boxes side by side in data[start:end]."""
@@ -116,46 +131,183 @@ def _offsets(sizes: np.ndarray, chunks: np.ndarray, runs: np.ndarray) -> np.ndar
     return chunks[chunk] + ahead - ahead[np.minimum(first[chunk], len(sizes) - 1)]
 
 
-def index(data: bytes) -> MediaIndex:
-    """The first track that has samples (or the first track)."""
+def _version_1(data, at: int) -> bool:
+    return data[at] == 1
+
+
+def _movie(data) -> tuple[list[dict], dict[int, dict], int]:
+    """The tables of each track of the movie, the defaults of fragments by track, and the movie's timescale."""
     tracks: list[dict] = []
-    try:
-        for path, a, b in walk(data):
-            kind = path[-1]
-            if path == (b"moov", b"trak"):
-                tracks.append({})
-            elif path[:2] != (b"moov", b"trak"):
-                continue
-            elif kind == b"mdhd":
-                tracks[-1]["time"] = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
-            elif kind == b"stsd":
-                tracks[-1]["codec"] = bytes(data[a + 12 : a + 16]).decode("latin-1")
-            elif kind in (b"stsz", b"stz2"):
-                tracks[-1]["sizes"] = _sizes(data, kind, a)
-            elif kind in (b"stco", b"co64"):
-                tracks[-1]["chunks"] = _ints(data, a + 8, struct.unpack_from(">I", data, a + 4)[0], ">u4" if kind == b"stco" else ">u8")
-            elif kind == b"stsc":
-                tracks[-1]["runs"] = _ints(data, a + 8, 3 * struct.unpack_from(">I", data, a + 4)[0]).reshape(-1, 3)
-            elif kind == b"stts":
-                tracks[-1]["deltas"] = _ints(data, a + 8, 2 * struct.unpack_from(">I", data, a + 4)[0]).reshape(-1, 2)
-            elif kind == b"stss":
-                tracks[-1]["keys"] = _ints(data, a + 8, struct.unpack_from(">I", data, a + 4)[0]) - 1
-    except (struct.error, IndexError) as why:
-        raise MediaError(str(why)) from why
-    if not tracks:
-        raise MediaError("no track")
-    t = next((x for x in tracks if len(x.get("sizes", ()))), tracks[0])
-    if missing := {"time", "codec", "sizes", "chunks", "runs", "deltas"} - set(t):
+    defaults: dict[int, dict] = {}
+    scale = 0
+    for path, a, b in walk(data):
+        kind = path[-1]
+        if path == (b"moov", b"mvhd"):
+            scale = struct.unpack_from(">I", data, a + (20 if _version_1(data, a) else 12))[0]
+        elif path == (b"moov", b"mvex", b"trex"):
+            track, entry, duration, size, flags = struct.unpack_from(">5I", data, a + 4)
+            defaults[track] = {"duration": duration, "size": size, "flags": flags}
+        elif path == (b"moov", b"trak"):
+            tracks.append({"track": 0, "handler": ""})
+        elif path[:2] != (b"moov", b"trak"):
+            continue
+        elif kind == b"tkhd":
+            tracks[-1]["track"] = struct.unpack_from(">I", data, a + (20 if _version_1(data, a) else 12))[0]
+        elif path[-2:] == (b"mdia", b"hdlr"):
+            tracks[-1]["handler"] = bytes(data[a + 8 : a + 12]).decode("latin-1")
+        elif kind == b"mdhd":
+            tracks[-1]["time"] = struct.unpack_from(">IQ", data, a + 20) if _version_1(data, a) else struct.unpack_from(">II", data, a + 12)
+        elif kind == b"stsd":
+            tracks[-1]["codec"] = bytes(data[a + 12 : a + 16]).decode("latin-1")
+        elif kind in (b"stsz", b"stz2"):
+            tracks[-1]["sizes"] = _sizes(data, kind, a)
+        elif kind in (b"stco", b"co64"):
+            tracks[-1]["chunks"] = _ints(data, a + 8, struct.unpack_from(">I", data, a + 4)[0], ">u4" if kind == b"stco" else ">u8")
+        elif kind == b"stsc":
+            tracks[-1]["runs"] = _ints(data, a + 8, 3 * struct.unpack_from(">I", data, a + 4)[0]).reshape(-1, 3)
+        elif kind == b"stts":
+            tracks[-1]["deltas"] = _ints(data, a + 8, 2 * struct.unpack_from(">I", data, a + 4)[0]).reshape(-1, 2)
+        elif kind == b"ctts":
+            table = _ints(data, a + 8, 2 * struct.unpack_from(">I", data, a + 4)[0], ">i4" if _version_1(data, a) else ">u4")
+            tracks[-1]["shifts"] = table.reshape(-1, 2)
+        elif kind == b"stss":
+            tracks[-1]["keys"] = _ints(data, a + 8, struct.unpack_from(">I", data, a + 4)[0]) - 1
+        elif kind == b"elst":
+            tracks[-1]["edits"] = _edits(data, a)
+    return tracks, defaults, scale
+
+
+def _edits(data, at: int) -> list[tuple[int, int]]:
+    """(duration in the movie's units, first media time; -1 for an empty edit)."""
+    n = struct.unpack_from(">I", data, at + 4)[0]
+    kind, step = (">Qq", 20) if _version_1(data, at) else (">Ii", 12)
+    if n * step > len(data):
+        raise MediaError("a table leaves its box")
+    return [struct.unpack_from(kind, data, at + 8 + step * k) for k in range(n)]
+
+
+def _fragments(data, defaults: dict[int, dict]) -> dict[int, list[dict]]:
+    """Runs of samples by track: offsets, sizes, durations, flags, composition offsets, and the time of the first if told."""
+    out: dict[int, list[dict]] = {}
+    moof = end = 0
+    head: dict = {}
+    for path, a, b in walk(data):
+        if path == (b"moof",):
+            moof = end = a - (8 if bytes(data[a - 4 : a]) == b"moof" else 16)
+        elif path == (b"moof", b"traf"):
+            head = {}
+        elif path == (b"moof", b"traf", b"tfhd"):
+            flags, track = struct.unpack_from(">I", data, a)[0] & 0xFFFFFF, struct.unpack_from(">I", data, a + 4)[0]
+            if track not in defaults:
+                raise MediaError(f"a fragment of track {track}, which the movie does not extend")
+            # where nothing is told, data follows on what the fragment before it holds, at first on the moof
+            head, at = dict(defaults[track], track=track, base=moof if flags & TFHD_BASE_IS_MOOF else end), a + 8
+            for flag, name, kind in ((TFHD_BASE, "base", ">Q"), (TFHD_ENTRY, "entry", ">I"), (TFHD_DURATION, "duration", ">I"), (TFHD_SIZE, "size", ">I"), (TFHD_FLAGS, "flags", ">I")):
+                if flags & flag:
+                    head[name] = struct.unpack_from(kind, data, at)[0]
+                    at += struct.calcsize(kind)
+            head["next"] = head["base"]
+        elif path == (b"moof", b"traf", b"tfdt"):
+            head["time"] = struct.unpack_from(">Q" if _version_1(data, a) else ">I", data, a + 4)[0]
+        elif path == (b"moof", b"traf", b"trun"):
+            if "track" not in head:
+                raise MediaError("a run without a track")
+            run = _run(data, a, head)
+            head["next"] = end = int(run["offsets"][-1] + run["sizes"][-1]) if len(run["sizes"]) else head["next"]
+            out.setdefault(head["track"], []).append(run)
+    return out
+
+
+def _run(data, a: int, head: dict) -> dict:
+    version, flags, n = data[a], struct.unpack_from(">I", data, a)[0] & 0xFFFFFF, struct.unpack_from(">I", data, a + 4)[0]
+    at, first, start = a + 8, None, head["next"]
+    if flags & TRUN_OFFSET:
+        start = head["base"] + struct.unpack_from(">i", data, at)[0]
+        at += 4
+    if flags & TRUN_FIRST_FLAGS:
+        first = struct.unpack_from(">I", data, at)[0]
+        at += 4
+    told = [name for flag, name in ((TRUN_DURATION, "duration"), (TRUN_SIZE, "size"), (TRUN_FLAGS, "flags"), (TRUN_COMPOSITION, "shift")) if flags & flag]
+    if n > len(data):
+        raise MediaError("more samples than bytes")
+    table = _ints(data, at, n * len(told)).reshape(n, len(told))
+    column = lambda name, other: table[:, told.index(name)] if name in told else np.full(n, other, np.int64)
+    sizes, own, shifts = column("size", head["size"]), column("flags", head["flags"]).copy(), column("shift", 0)
+    if first is not None and n:
+        own[0] = first
+    if version == 1:
+        shifts = shifts.astype(np.uint32).view(np.int32).astype(np.int64)
+    return {"offsets": start + np.cumsum(sizes) - sizes, "sizes": sizes, "durations": column("duration", head["duration"]), "shifts": shifts, "keys": own & SAMPLE_DEPENDS == 0, "time": head.pop("time", None)}
+
+
+def _track(data, t: dict, runs: list[dict], scale: int) -> MediaIndex:
+    if missing := {"time", "codec"} - set(t):
         raise MediaError(f"no {sorted(missing)[0]}")
-    n = len(t["sizes"])
-    if t["deltas"][:, 0].sum() != n:
-        raise MediaError("stts")
-    offsets = _offsets(t["sizes"], t["chunks"], t["runs"])
+    n = len(t.get("sizes", ()))
+    if n or not runs:
+        if missing := {"sizes", "chunks", "runs", "deltas"} - set(t):
+            raise MediaError(f"no {sorted(missing)[0]}")
+        if t["deltas"][:, 0].sum() != n:
+            raise MediaError("stts")
+        offsets, sizes = _offsets(t["sizes"], t["chunks"], t["runs"]), t["sizes"]
+        durations = np.repeat(t["deltas"][:, 1], t["deltas"][:, 0])
+    else:
+        offsets = sizes = durations = np.zeros(0, np.int64)
+    shifts = np.zeros(n, np.int64)
+    if "shifts" in t:
+        if (t["shifts"][:, 0] < 0).any() or t["shifts"][:, 0].sum() != n:
+            raise MediaError("ctts")
+        shifts = np.repeat(t["shifts"][:, 1], t["shifts"][:, 0])
     keys = t.get("keys", np.arange(n))
-    if n and (offsets.min() < 0 or (offsets + t["sizes"]).max() > len(data)) or len(keys) and (keys.min() < 0 or keys.max() >= n):
+    if len(keys) and (keys.min() < 0 or keys.max() >= n):
         raise MediaError("samples outside the file")
-    deltas = np.repeat(t["deltas"][:, 1], t["deltas"][:, 0])
-    return MediaIndex(t["codec"], t["time"][0], t["time"][1], offsets, t["sizes"], np.cumsum(deltas) - deltas, keys)
+    times, upto = np.cumsum(durations) - durations + shifts, int(durations.sum())
+    parts = {"offsets": [offsets], "sizes": [sizes], "times": [times], "keys": [keys]}
+    for run in runs:
+        begin = upto if run["time"] is None else int(run["time"])
+        parts["offsets"].append(run["offsets"])
+        parts["sizes"].append(run["sizes"])
+        parts["times"].append(begin + np.cumsum(run["durations"]) - run["durations"] + run["shifts"])
+        parts["keys"].append(n + np.flatnonzero(run["keys"]))
+        n, upto = n + len(run["sizes"]), begin + int(run["durations"].sum())
+    offsets, sizes, times, keys = (np.concatenate(parts[c]) for c in ("offsets", "sizes", "times", "keys"))
+    if n and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
+        raise MediaError("samples outside the file")
+    timescale, duration = t["time"]
+    # the first edit that shows media says what time is shown first, empty ones before it by how much later
+    late = 0
+    for length, first in t.get("edits", ()):
+        if first >= 0:
+            times = times - first
+            break
+        late += length
+    if late and scale:
+        times = times + late * timescale // scale
+    return MediaIndex(t["codec"], timescale, max(duration, upto) if runs else duration, offsets, sizes, times, keys, t["track"], t["handler"])
+
+
+def tracks(data: bytes) -> list[MediaIndex]:
+    """Every track of a file, with the samples of the movie and of all fragments."""
+    try:
+        movie, defaults, scale = _movie(data)
+        if not movie:
+            raise MediaError("no track")
+        runs = _fragments(data, defaults) if any(kind == b"moof" for kind, _, _ in boxes(data)) else {}
+        if lost := set(runs) - {t["track"] for t in movie}:
+            raise MediaError(f"a fragment of track {min(lost)}, which the movie does not have")
+        return [_track(data, t, runs.get(t["track"], []), scale) for t in movie]
+    except (struct.error, IndexError) as why:
+        raise MediaError(str(why)) from why
+
+
+def main_track(found: list[MediaIndex]) -> MediaIndex:
+    """The first video track that has samples, else the first track that has, else the first."""
+    with_samples = [t for t in found if len(t.sizes)]
+    return next((t for t in with_samples if t.handler == "vide"), (with_samples or found)[0])
+
+
+def index(data: bytes) -> MediaIndex:
+    return main_track(tracks(data))
 
 
 def payload(data: bytes, at: MediaIndex) -> bytes:
@@ -222,25 +374,36 @@ def mux(body: bytes) -> bytes:
 
 
 RANGES = "array<struct<sample: long, time_ms: double, offset: long, length: long>>"
-INDEX_SCHEMA = f"codec string, duration_ms double, n_samples long, payload_bytes long, key_frames {RANGES}, error string"
+INDEX_SCHEMA = (
+    f"codec string, duration_ms double, n_samples long, payload_bytes long, key_frames {RANGES}, "
+    f"tracks array<struct<track: long, handler: string, codec: string, duration_ms: double, n_samples: long, payload_bytes: long, key_frames: {RANGES}>>, error string"
+)
+COLUMNS = ["codec", "duration_ms", "n_samples", "payload_bytes", "key_frames", "tracks", "error"]
+
+
+def _key_frames(at: MediaIndex) -> list[dict]:
+    return [{"sample": int(k), "time_ms": at.time_ms(k), "offset": int(at.offsets[k]), "length": int(at.sizes[k])} for k in at.keys]
 
 
 def _indexed(data: bytes | None) -> tuple:
     if data is None:
-        return None, None, None, None, None, None
+        return (None,) * len(COLUMNS)
     try:
-        at = index(data)
+        found = tracks(data)
     except MediaError as why:
-        return None, None, None, None, None, str(why)
-    ms = 1000.0 / at.timescale if at.timescale else 0.0
-    keys = [{"sample": int(k), "time_ms": float(at.times[k] * ms), "offset": int(at.offsets[k]), "length": int(at.sizes[k])} for k in at.keys]
-    return at.codec, at.duration_ms, len(at.sizes), int(at.sizes.sum()), keys, None
+        return *(None,) * (len(COLUMNS) - 1), str(why)
+    rows = [
+        {"track": at.track, "handler": at.handler, "codec": at.codec, "duration_ms": at.duration_ms, "n_samples": len(at.sizes), "payload_bytes": int(at.sizes.sum()), "key_frames": _key_frames(at)}
+        for at in found
+    ]
+    main = next(row for row, at in zip(rows, found) if at is main_track(found))
+    return *(main[c] for c in COLUMNS[:5]), rows, None
 
 
 def media_index(df: DataFrame, media_col: str, out_col: str = "media_index") -> DataFrame:
-    """df with a struct column (INDEX_SCHEMA) for the files in media_col.
+    """df with a struct column (INDEX_SCHEMA) for the files in media_col: the main track, and all of them.
 
-    A null file has a struct of nulls; bytes that can't be indexed have the reason in ``error`` and
+    In a track without a table of key frames every sample is one.  A null file has a struct of nulls; bytes that can't be indexed have the reason in ``error`` and
     nulls else.  A column that is already named out_col is replaced.
     """
 
@@ -248,7 +411,7 @@ def media_index(df: DataFrame, media_col: str, out_col: str = "media_index") ->
     def run(files):
         import pandas as pd
 
-        return pd.DataFrame([_indexed(None if x is None else bytes(x)) for x in files], columns=["codec", "duration_ms", "n_samples", "payload_bytes", "key_frames", "error"])
+        return pd.DataFrame([_indexed(None if x is None else bytes(x)) for x in files], columns=COLUMNS)
 
     return df.withColumn(out_col, run(F.col(media_col)))
 
