@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfell.checkpoints import checkpoint_root
+from tarnfell import checkpoints
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,18 +19,11 @@ def cut(df: DataFrame, gather: bool = False) -> DataFrame:
 
     gather: deal rows that are few bytes out of a wide step to files of a sensible size first.
     """
-    checkpoint_root(df.sparkSession)
-    return (df.hint("rebalance") if gather else df).checkpoint(eager=True)
+    return checkpoints.cut(df.hint("rebalance") if gather else df)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes what scratch_path named, in whatever store it is."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return f"{checkpoints.checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 #: Parts that a sample is gathered in; the driver holds one of them beside what it has taken.

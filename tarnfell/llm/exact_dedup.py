@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnfell.checkpoints import release
+
 from .common import cut, join_classes
 
 BLOCK_BYTES = 4096
@@ -67,6 +69,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "d
     else:
         placed = blocks.withColumn("print", fingerprint(F.col("block"))).join(by_print, "print")
     now = cut(placed.select("doc_id", "sha", F.lit(1).cast("long").alias("copies"), F.col("n_blocks").alias("n"), "pos", "name"))
+    release(by_print)
     done, level = [], 0
     longest = now.agg(F.max("n")).first()[0] or 0
     while True:
@@ -82,6 +85,8 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "d
         pairs = cut(pairs)
         names = cut(_named(pairs.select("left", "right"), [F.col("left"), F.xxhash64("right")], "left", "right"))
         now = cut(pairs.join(names, ["left", "right"]).select("doc_id", "sha", "copies", "n", "pos", "name"))
+        release(pairs)
+        release(names)
         longest, level = (longest + 1) // 2, level + 1
     out = done[0]
     for more in done[1:]:

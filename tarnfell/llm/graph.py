@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnfell.checkpoints import release
+
 from .common import cut
 
 
@@ -12,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (a, b): root is the smallest node it reaches.
 
     Each step joins edges with the least neighbour per node, which is summed before it meets, so a
-    node with very many edges is spread by adaptive execution.  Lineage is cut after every round.
+    node with very many edges is spread by adaptive execution.  Lineage is cut after every round, and the round before deleted.
     """
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     now = cut(edges.where("a <> b").select(low, high).distinct())
@@ -24,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         near = large.groupBy("b").agg(F.min("a").alias("m"))
         linked = large.join(near, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b")))).alias("e"))
-        now = cut(linked.select("e.a", "e.b").where("a <> b").distinct())
+        held, now = now, cut(linked.select("e.a", "e.b").where("a <> b").distinct())
+        release(held)
         after = now.agg(stamp).first()["x"]
         if after == before:
             break

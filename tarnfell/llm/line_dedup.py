@@ -32,8 +32,10 @@ from .common import cut
 MIN_CHARS = 10
 SHARD_KEYS = 200_000
 MIN_SHARDS = 8
-#: Lines of one shard are probed in so many tasks, so that a very common line is spread.
-PROBE_SALTS = 8
+#: Lines that are probed together; a shard with more of them, as of a very common line, is spread by documents.
+PROBE_LINES = 50_000
+#: Up to so many shards, how far each is spread goes by broadcast (a row of two numbers a shard).
+BROADCAST_SHARDS = 1 << 20
 _SPACE = b" \t\n\x0b\x0c\r"
 _SLOTS = 4
 _MAX_KICKS = 500
@@ -250,9 +252,11 @@ def delete(index: LineIndex, ids: DataFrame) -> LineIndex:
 
 def dropped_keys(index: LineIndex) -> DataFrame:
     """(doc_id, hi, lo) of the keys that lose their lines in doc_id."""
-    none = F.lit(None)
-    lines = index.keys.select(_shard(index.shards), F.pmod("doc_id", F.lit(PROBE_SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"), "hi", "lo", "doc_id", none.cast("binary").alias("table"))
-    stored = index.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(PROBE_SALTS - 1))).alias("salt"), F.lit(0), none.cast("long"), none.cast("long"), none.cast("long"), "table")
+    none, keys = F.lit(None), index.keys.select(_shard(index.shards), "hi", "lo", "doc_id")
+    salts = keys.groupBy("shard").agg(F.ceil(F.count("*") / PROBE_LINES).cast("int").alias("salts"))
+    salts = F.broadcast(salts) if index.shards <= BROADCAST_SHARDS else salts
+    lines = keys.join(salts, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "hi", "lo", "doc_id", none.cast("binary").alias("table"))
+    stored = index.filters.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0), none.cast("long"), none.cast("long"), none.cast("long"), "table")
     maybe = stored.union(lines).toDF("shard", "salt", "kind", "hi", "lo", "doc_id", "table").repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(_probe, "hi long, lo long, doc_id long")
     return maybe.join(index.counts, ["hi", "lo"]).where("doc_id <> owner").select("doc_id", "hi", "lo")
 

@@ -10,12 +10,20 @@ Two documents link when 100 * |A & B| >= 80 * |A | B| over their sets of five-wo
    a pair stays if the count can still lead to the required overlap, as in T-occurrence search.
    The sets of a longer list are tied to its first one instead, so no list makes many pairs.  The
    pairs and ties that stay divide the sets into connected parts.
-3. Only sets in parts of two or more travel on.  Each part, or each pair of blocks of a part that
-   is too large for one task, is searched by DivideSkip: for each set the short inverted lists are
-   merged, sets that occur often enough are probed in the long lists by binary search, and those
-   that reach the required overlap are linked.  Sets already joined are not probed again, so a
-   group of near copies costs a tree of links.
-4. Connected components over the links, and the smallest document id of each.
+3. Only sets in parts of two or more travel on.  A part is dealt out in chunks of up to BLOCK_SETS
+   sets, and each is searched by DivideSkip: for each set the short inverted lists are merged, sets
+   that occur often enough are probed in the long lists by binary search, and those that reach the
+   required overlap are linked.  Sets already joined are not probed again, so a group of near
+   copies costs a tree of links.
+4. Of a part of several chunks, a few sets of every class found so far are searched together, again
+   and again until they fit one chunk; that joins what belongs together across chunks.  Then every
+   set of the part is probed, chunk by chunk, in the inverted lists of those that are not in the
+   part's largest class.  So each pair that could still join two classes is met, and a group of
+   near copies costs no more than its size, however large it is.
+5. Connected components over the links, and the smallest document id of each.
+
+``join`` needs a tree of links for each class only.  ``links`` returns all of them, between the
+distinct sets (``members`` says which documents share one): there step 4 probes every set in all.
 """
 
 from __future__ import annotations
@@ -29,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnfell.checkpoints import release
+
 from .common import cut, join_classes
 from .graph import components
 from .text_hash import shingle_sets
@@ -42,8 +52,12 @@ SKETCH_BITS = (18, 26)
 _CHUNK = 1 << 16
 #: Lists of up to so many sets are counted pair by pair.
 SHORT_LIST = 64
-#: Shingles that one task searches at a time.
-BLOCK_SHINGLES = 3_000_000
+#: Shingles that one task searches at a time, and sets of one part.
+BLOCK_SHINGLES, BLOCK_SETS = 3_000_000, 200
+#: Sets of a class that stand for it when chunks are joined.
+LEADERS = 4
+#: How many times a part's shingles may be copied to spread its last search.
+COPIES = 4
 #: The count of sets tied by a long list.
 TIED = 1 << 40
 #: DivideSkip's factor between the cost of merging and of probing.
@@ -249,106 +263,120 @@ def _and_last(batches):
     yield None
 
 
-def _deal(size: int):
-    """Sets of candidates, one row for each unit (part, or pair of blocks of a part) they go to."""
+def _sets(size: int):
+    """Stamp, size and shingles of every text that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            want, part, blocks = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            for k, s in shingle_sets(batch.column(0), size):
-                d = want[k]
-                if _stamp(s) != d:
-                    continue
-                own = (d >> 7) % blocks[k]
-                for other in range(blocks[k]):
-                    if blocks[k] == 1 or other != own:
-                        rows.append((part[k], min(own, other), max(own, other), d, len(s), s.tobytes()))
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["part", "i", "j", "d", "n", "s"])
+            rows = [(_stamp(s), len(s), s.tobytes()) for _, s in shingle_sets(batch.column(0), size) if len(s)]
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.binary()])], ["d", "n", "s"])
 
     return run
 
 
-def divide_skip(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links between sorted distinct sets, as a forest: positions that join two groups not yet joined."""
-    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
-    lens = np.array([len(sets[k]) for k in order], np.int64)
-    n_docs = len(order)
-    flat = np.concatenate([sets[k] for k in order]) if order else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(n_docs), lens)
-    by = np.argsort(flat, kind="stable")
-    new = np.ones(len(by), bool)
-    new[1:] = flat[by][1:] != flat[by][:-1]
-    list_of = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(by)))
-    posted = owner[by]
-    probe = list_of * n_docs + posted  # sorted: for binary search of (list, document)
-    lists = np.empty(len(by), np.int64)
-    lists[by] = list_of
-    begin = np.concatenate([[0], np.cumsum(lens)])
-    parent = list(range(n_docs))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links = []
-    for x in range(1, n_docs):
-        nx = int(lens[x])
-        need = -(-percent * nx // 100)
-        lo = int(np.searchsorted(lens, need))
-        if lo >= x or not nx:
-            continue
-        own = lists[begin[x] : begin[x + 1]]
-        own = own[size[own] > 1]
+class Lists:
+    """Inverted lists over sets (sorted arrays, in order of their sizes): who shares how much with a set."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.lens = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        by = np.argsort(flat, kind="stable")
+        new = np.ones(len(by), bool)
+        new[1:] = flat[by][1:] != flat[by][:-1]
+        self.keys = flat[by][new]
+        self.first = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.first, len(by)))
+        self.posted = np.repeat(np.arange(len(sets)), self.lens)[by]
+        self.probe = (np.cumsum(new) - 1) * max(1, len(sets)) + self.posted  # sorted: for binary search of (list, set)
+
+    def linked(self, s: np.ndarray, percent: int, least: int, below: int, skip) -> Iterator[tuple[int, int]]:
+        """(position, overlap) of the sets in lists of at least ``least`` that link with s, of positions under ``below``.
+
+        Short lists are merged; what occurs often enough there, and skip(position) does not rule out,
+        is probed in the long ones.
+        """
+        n = len(s)
+        need = -(-percent * n // 100)
+        lo, hi = int(np.searchsorted(self.lens, need)), min(below, int(np.searchsorted(self.lens, 100 * n // percent, "right")))
+        if lo >= hi or not n:
+            return
+        own = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
+        own = own[self.keys[own] == s]
+        own = own[self.size[own] >= least]
         if len(own) < need:
-            continue
-        own = own[np.argsort(size[own], kind="stable")]
-        n_long = min(need - 1, int(need / (MU * np.log2(size[own[-1]]) + 1)))
+            return
+        own = own[np.argsort(self.size[own], kind="stable")]
+        n_long = min(need - 1, int(need / (MU * np.log2(self.size[own[-1]]) + 1)))
         short, long = own[: len(own) - n_long], own[len(own) - n_long :]
-        count = size[short]
-        at = np.repeat(first[short] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        merged = posted[at]
-        merged = merged[(merged < x) & (merged >= lo)]
+        count = self.size[short]
+        at = np.repeat(self.first[short] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        merged = self.posted[at]
+        merged = merged[(merged < hi) & (merged >= lo)]
         if not len(merged):
-            continue
+            return
         seen = np.bincount(merged - lo)
         likely = np.flatnonzero(seen >= need - n_long)
         for k in likely[np.argsort(-seen[likely], kind="stable")]:
             y, have = int(k) + lo, int(seen[k])
-            if (rx := root(x)) == (ry := root(y)):
+            if skip(y):
                 continue
             if n_long:
-                q = long * n_docs + y
-                spot = np.minimum(np.searchsorted(probe, q), len(probe) - 1)
-                have += int((probe[spot] == q).sum())
-            if 100 * have >= percent * (nx + int(lens[y]) - have):
-                parent[max(rx, ry)] = min(rx, ry)
-                links.append((order[x], order[y]))
+                q = long * len(self.lens) + y
+                have += int((self.probe[np.minimum(np.searchsorted(self.probe, q), len(self.probe) - 1)] == q).sum())
+            if 100 * have >= percent * (n + int(self.lens[y]) - have):
+                yield y, have
+
+
+class Classes(dict):
+    """Which labels have been joined."""
+
+    def root(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.root(x), self.root(y)
+        self[max(x, y)] = min(x, y)
+
+
+def divide_skip(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links between sorted distinct sets, as a forest: positions that join two groups not yet joined."""
+    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+    lists, classes, links = Lists([sets[k] for k in order]), Classes(), []
+    for x in range(1, len(order)):
+        for y, _ in lists.linked(sets[order[x]], percent, 2, x, lambda y: classes.root(x) == classes.root(y)):  # noqa: B023
+            classes.join(x, y)
+            links.append((order[x], order[y]))
     return links
 
 
+LINK = "a long, b long, shared long"
+
+
+def _link_batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*found)) or [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "shared"])
+
+
 def _search(percent: int):
+    """Links within each chunk, from rows (part, chunk, d, s) sorted by (part, chunk, n, d)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, ids, sets = None, [], []
 
         def links() -> pa.RecordBatch:
-            found = divide_skip(sets, percent)
-            return pa.RecordBatch.from_arrays([pa.array([ids[x] for x, _ in found], pa.int64()), pa.array([ids[y] for _, y in found], pa.int64())], ["a", "b"])
+            return _link_batch([(ids[x], ids[y], 0) for x, y in divide_skip(sets, percent)])
 
         for batch in batches:
-            p, i, j, d = (batch.column(k).to_pylist() for k in range(4))
-            s = batch.column(5)
+            part, chunk, d = (batch.column(k).to_pylist() for k in range(3))
+            s = batch.column(3)
             for k in range(len(batch)):
-                if unit != (p[k], i[k], j[k]):
+                if unit != (part[k], chunk[k]):
                     if len(ids) > 1:
                         yield links()
-                    unit, ids, sets = (p[k], i[k], j[k]), [], []
+                    unit, ids, sets = (part[k], chunk[k]), [], []
                 if ids and ids[-1] == d[k]:
                     continue
                 ids.append(d[k])
@@ -359,20 +387,106 @@ def _search(percent: int):
     return run
 
 
-def join(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row.
+def _probe(percent: int, forest: bool):
+    """Links of probes (role 1) with the sets of their unit that are listed (role 0), from rows
+    (part, i, j, role, d, label, rest, s) sorted by (part, i, j, role, n, d).
 
-    A null or empty text (or one of white space) has no shingles, links with nothing and is a
-    component of its own; equal texts link; a null id never names a component that has another id;
-    rows with equal ids are documents of their own.  Empty tables give no rows; only the id and the
-    text are read.
+    forest: only those that join two classes; else all.  Of two listed sets the larger stamp probes.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, lists, ids, labels, sets, classes, last = None, None, [], [], [], Classes(), None
+        for batch in batches:
+            found = []
+            part, i, j, role, d, label, rest = (batch.column(k).to_pylist() for k in range(7))
+            s = batch.column(7)
+            for k in range(len(batch)):
+                if unit != (part[k], i[k], j[k]):
+                    unit, lists, ids, labels, sets, classes, last = (part[k], i[k], j[k]), None, [], [], [], Classes(), None
+                if last == (role[k], d[k]):
+                    continue
+                last = role[k], d[k]
+                own = np.frombuffer(s[k].as_buffer(), np.uint64).copy()
+                if role[k] == 0:
+                    ids.append(d[k])
+                    labels.append(label[k])
+                    sets.append(own)
+                    continue
+                if lists is None:
+                    lists, sets = Lists(sets), []
+
+                def skip(y: int, x: int = d[k], c: int = label[k], listed: bool = rest[k]) -> bool:
+                    return listed and ids[y] >= x or forest and classes.root(labels[y]) == classes.root(c)  # noqa: B023
+
+                for y, shared in lists.linked(own, percent, 1, len(ids), skip):
+                    found.append((d[k], ids[y], shared))
+                    if forest:
+                        classes.join(labels[y], label[k])
+            yield _link_batch(found)
+
+    return run
+
+
+def _in_chunks(sets: DataFrame, block_shingles: int, block_sets: int) -> DataFrame:
+    """sets (part, d, n) with the weight of their part, into how many chunks it is dealt, and theirs."""
+    parts = cut(sets.groupBy("part").agg(F.sum("n").alias("w"), F.count("*").alias("m")))
+    chunks = F.greatest(F.ceil(F.col("w") / block_shingles), F.ceil(F.col("m") / block_sets)).cast("int")
+    dealt = join_classes(sets, parts.withColumn("chunks", chunks), ["part"], "m")
+    return dealt.withColumn("chunk", F.pmod(F.shiftright("d", 7), F.col("chunks")).cast("int"))
+
+
+def _within_chunks(placed: DataFrame, percent: int) -> DataFrame:
+    dealt = placed.repartition("part", "chunk").sortWithinPartitions("part", "chunk", "n", "d")
+    return cut(dealt.select("part", "chunk", "d", "s").mapInArrow(_search(percent), LINK))
+
+
+def _labelled(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """sets with label: the smallest stamp of what is linked so far, or their own."""
+    joined = components(found.select("a", "b"))
+    return sets.join(joined.select(F.col("node").alias("d"), "root"), "d", "left").withColumn("label", F.coalesce("root", "d")).drop("root")
+
+
+def _leaders(sets: DataFrame) -> DataFrame:
+    """part, d, n of up to LEADERS sets of every label, by as many hashes."""
+    draw = [F.min(F.struct(F.xxhash64(F.lit(k), "d"), "d", "n")).alias(f"l{k}") for k in range(LEADERS)]
+    some = sets.groupBy("part", "label").agg(*draw).select("part", F.explode(F.array(*[F.struct(f"l{k}.d", f"l{k}.n") for k in range(LEADERS)])).alias("l"))
+    return some.select("part", "l.d", "l.n").distinct()
+
+
+def _across_chunks(placed: DataFrame, labelled: DataFrame, percent: int, block_shingles: int, forest: bool) -> DataFrame:
+    """Links between sets of different labels (all: between any sets) of the same part."""
+    weights = cut(labelled.groupBy("part", "label").agg(F.sum("n").alias("n")))
+    top = weights.groupBy("part").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("k"))
+    if forest:
+        top = top.where("k > 1").withColumn("listed", F.col("all") - F.col("most"))
+    else:
+        top = top.withColumn("top", F.lit(None).cast("long")).withColumn("listed", F.col("all"))
+    top = cut(top.select("part", "top", "all", "listed"))
+    dealt = join_classes(labelled, top, ["part"], "all").withColumn("rest", ~F.col("label").eqNullSafe(F.col("top")))
+    dealt = dealt.withColumn("blocks", F.ceil(F.col("listed") / block_shingles).cast("int"))
+    # enough chunks of probes to spread them, as long as that copies the listed sets COPIES times the part at most
+    spread = F.least(F.col("chunks"), F.floor(COPIES * F.col("all") / F.col("listed")).cast("int"))
+    dealt = dealt.withColumn("probes", F.greatest(F.ceil(F.col("all") / block_shingles).cast("int"), spread))
+    own, upto = F.shiftright("d", 7), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    dealt = dealt.select("d", "label", "rest", F.pmod(own, F.col("blocks")).cast("int").alias("i"), F.pmod(F.shiftright(own, 11), F.col("probes")).cast("int").alias("j"), "blocks", "probes")
+    rows = placed.select("part", "d", "n", "s").join(dealt, "d")
+    listed = rows.where("rest").select("part", "i", F.explode(upto("probes")).alias("j"), F.lit(0).alias("role"), "d", "label", "rest", "n", "s")
+    probes = rows.select("part", F.explode(upto("blocks")).alias("i"), "j", F.lit(1).alias("role"), "d", "label", "rest", "n", "s")
+    units = listed.unionByName(probes).repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "role", "n", "d")
+    return cut(units.select("part", "i", "j", "role", "d", "label", "rest", "s").mapInArrow(_probe(percent, forest), LINK))
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def _candidates(rows: DataFrame, shingle_words: int, percent: int, block_shingles: int, block_sets: int) -> tuple[DataFrame, DataFrame]:
+    """Stamp and size of every document's set, and the sets that may link, dealt to parts and chunks."""
     bits = _sketch_bits(rows, "text")
     first = cut(rows.mapInArrow(_first_pass(shingle_words, bits), "doc_id long, d long, n long, chunk int, counts binary"))
     narrow = first.where("chunk is null").select("doc_id", "d", "n")
     sketch = first.where("chunk is not null").select("chunk", "counts")
-    ranks = docs.sparkSession.sparkContext.broadcast(_ranks(sketch, bits))
+    ranks = rows.sparkSession.sparkContext.broadcast(_ranks(sketch, bits))
     postings = rows.select("text").mapInArrow(_postings(shingle_words, percent, ranks), "h long, d long, n int")
     counted = postings.repartition("h").sortWithinPartitions("h", "n", "d").mapInArrow(_pairs(percent, SHORT_LIST), "a long, b long, na int, nb int, c long")
     counted = counted.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"))
@@ -381,19 +495,78 @@ def join(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PER
     parts = components(counted.where(F.col("c") >= needed).select("a", "b"))
     nodes = narrow.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     sized = cut(nodes.join(parts, nodes["d"] == parts["node"]).select("rep", "d", "n", F.col("root").alias("part")))
-    blocks = sized.groupBy("part").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
-    wanted = sized.join(blocks, "part").select("rep", "d", "part", "blocks")
-    # a part of many blocks is searched pair by pair, each pair within the bound of one task
-    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "d", "part", "blocks")
-    units = found.mapInArrow(_deal(shingle_words), "part long, i int, j int, d long, n int, s binary")
-    links = units.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "n", "d").mapInArrow(_search(percent), "a long, b long")
-    joined = components(links)
+    dealt = _in_chunks(sized.select("part", "d", "n"), block_shingles, block_sets)
+    # texts by the ids of candidates, sets by their own stamps: an id may be that of many texts
+    texts = rows.join(sized.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+    sets = texts.mapInArrow(_sets(shingle_words), "d long, n long, s binary").drop("n")
+    placed = cut(sets.join(dealt, "d").select("part", "chunks", "chunk", "d", "n", "s"))
+    release(sized)
+    return narrow, placed
+
+
+def _forest(placed: DataFrame, percent: int, block_shingles: int, block_sets: int) -> DataFrame:
+    """Links that make classes of the sets."""
+    found = _within_chunks(placed, percent)
+    wide = placed.where("chunks > 1")
+    if wide.isEmpty():
+        return found
+    sets = wide.select("part", "chunks", "d", "n").distinct()
+    left = None
+    while True:
+        labelled = cut(_labelled(sets, found))  # classes so far
+        leaders = cut(_in_chunks(_leaders(labelled), block_shingles, block_sets))
+        n, most = leaders.agg(F.count("*"), F.max("chunks")).first()
+        if left is not None and n > left // 2:  # what is left does not join
+            break
+        found = found.unionByName(_within_chunks(placed.select("d", "s").join(leaders, "d"), percent))
+        if most == 1:
+            labelled = cut(_labelled(sets, found))
+            break
+        left = n
+    return found.unionByName(_across_chunks(wide, labelled, percent, block_shingles, True))
+
+
+def join(
+    docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES, block_sets: int = BLOCK_SETS,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row.
+
+    A null or empty text (or one of white space) has no shingles, links with nothing and is a
+    component of its own; equal texts link; a null id never names a component that has another id;
+    rows with equal ids are documents of their own.  Empty tables give no rows; only the id and the
+    text are read.
+    """
+    narrow, placed = _candidates(_documents(docs, id_col, text_col), shingle_words, percent, block_shingles, block_sets)
+    joined = components(_forest(placed, percent, block_shingles, block_sets).select("a", "b"))
+    release(placed)
     labelled = cut(narrow.where("n > 0").join(joined, narrow["d"] == joined["node"], "left").select("doc_id", "n", F.coalesce("root", "d").alias("label")))
     names = cut(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")))
     full = join_classes(labelled, names, ["label"], "size").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(narrow.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def members(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, set_id, n_shingles for every row: documents with the same shingles have the same set_id (null: none)."""
+    rows = _documents(docs, id_col, text_col).mapInArrow(_first_pass(shingle_words, SKETCH_BITS[0]), "doc_id long, d long, n long, chunk int, counts binary")
+    return rows.where("chunk is null").select("doc_id", F.when(F.col("n") > 0, F.col("d")).alias("set_id"), F.col("n").alias("n_shingles"))
+
+
+def links(
+    docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES, block_sets: int = BLOCK_SETS,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """set_id, other_id, shared: every link between different sets once, set_id < other_id; ``members`` has their documents.
+
+    As many rows as there are links, which in a group of near copies is up to the square of its
+    distinct sets.  Edge cases are those of ``join``.
+    """
+    _, placed = _candidates(_documents(docs, id_col, text_col), shingle_words, percent, block_shingles, block_sets)
+    sets = placed.select("part", "chunks", "d", "n").distinct().withColumn("label", F.col("d"))
+    found = _across_chunks(placed, cut(sets), percent, block_shingles, False)
+    return found.select(F.least("a", "b").alias("set_id"), F.greatest("a", "b").alias("other_id"), "shared")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the documents whose component holds a smaller id; rows with equal ids share a fate."""
     found = join(docs, id_col=id_col, **options)

@@ -7,9 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
-from . import chat_format, exact_dedup, language_id, license_scan, line_dedup, media, mixing, ngram_join, sentencepiece_codec, toxicity
+from . import chat_format, exact_dedup, language_id, license_scan, line_dedup, media, mixing, ngram_join, pipeline, sentencepiece_codec, toxicity
 from .common import held_out, table
 
 
@@ -151,7 +149,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_toxicity": op9_toxicity,
         "op10_mix_sources": op10_mix_sources,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

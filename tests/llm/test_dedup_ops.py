@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -66,14 +67,57 @@ def components(rows):
     return [(i, len(s), least.get(root(k))) for k, ((i, _), s) in enumerate(zip(rows, sets))]
 
 
-@pytest.mark.parametrize("block, short", [(ngram_join.BLOCK_SHINGLES, 64), (150, 64), (ngram_join.BLOCK_SHINGLES, 1), (150, 1)])
-def test_ngram_join(spark, monkeypatch, block, short):
+@pytest.mark.parametrize("block, sets, short", [(ngram_join.BLOCK_SHINGLES, 200, 64), (150, 200, 64), (ngram_join.BLOCK_SHINGLES, 2, 1), (150, 3, 1)])
+def test_ngram_join(spark, monkeypatch, block, sets, short):
     monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
     rows = corpus()
-    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(frame(spark, rows), block_shingles=block).collect()]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(frame(spark, rows), block_shingles=block, block_sets=sets).collect()]
     assert sorted(got, key=repr) == sorted(components(rows), key=repr)
 
 
+def near_copies(n=90, seed=11):
+    """One group that drifts apart, one passage that ties it to others, and ids that say nothing."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(300)]
+    base, passage, rows = rng.choices(words, k=80), " ".join(rng.choices(words, k=30)), []
+    for k in range(n):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        if k % 10 == 0:
+            base = copy
+        rows.append((k if k % 3 else None, " ".join(copy)))
+        if k % 6 == 0:
+            rows.append((5 if k % 4 else 1000 + k, " ".join(rng.choices(words, k=rng.randrange(5, 12))) + " " + passage))
+    return rows
+
+
+@pytest.mark.parametrize("block, sets", [(ngram_join.BLOCK_SHINGLES, 200), (ngram_join.BLOCK_SHINGLES, 7), (600, 30), (400, 5)])
+def test_ngram_join_of_one_large_group(spark, monkeypatch, block, sets):
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 8)
+    rows = near_copies()
+    want = components(rows)
+    assert 2 < len({c for _, _, c in want}) < len(rows) - 20
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(frame(spark, rows), block_shingles=block, block_sets=sets).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("block, sets", [(ngram_join.BLOCK_SHINGLES, 200), (500, 9)])
+def test_ngram_links_are_all_there_are(spark, block, sets):
+    rows = near_copies(60) + corpus()
+    of: dict = {}
+    for r in ngram_join.members(frame(spark, rows)).collect():
+        of.setdefault(r["set_id"], []).append((r["doc_id"], r["n_shingles"]))
+    distinct = {frozenset(shingles(t)) for _, t in rows} - {frozenset()}
+    assert len(of) == len(distinct) + 1 and sum(map(len, of.values())) == len(rows) and all(n == 0 for _, n in of[None])
+    shared = sorted((len(a & b), min(len(a), len(b)), max(len(a), len(b))) for a, b in combinations(distinct, 2) if 100 * len(a & b) >= 80 * len(a | b))
+    got = [(r["set_id"], r["other_id"], r["shared"]) for r in ngram_join.links(frame(spark, rows), block_shingles=block, block_sets=sets).collect()]
+    assert len({x[:2] for x in got}) == len(got) and all(a < b for a, b, _ in got)
+    size = {k: v[0][1] for k, v in of.items()}
+    assert sorted((s, min(size[a], size[b]), max(size[a], size[b])) for a, b, s in got) == shared and len(shared) > 20
+    assert ngram_join.links(frame(spark, [])).count() == 0
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.join(frame(spark, [])).count() == 0
     kept = ngram_join.keep_one(frame(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (None, "a b c d e f")]))
@@ -145,7 +189,9 @@ def got(df):
     return sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in df.collect()), key=repr)
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("together", [50_000, 3])
+def test_line_dedup(spark, monkeypatch, together):
+    monkeypatch.setattr(line_dedup, "PROBE_LINES", together)
     rows = lines_corpus()
     assert got(line_dedup.dedup_lines(frame(spark, rows))) == dropped(rows)
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0

@@ -9,6 +9,7 @@ import __spark_entry__
 import corpus_pipeline
 from tarnfell.llm import language_id, mixing
 from tarnfell.llm import sentencepiece_codec as codec
+from tarnfell.llm.common import held_out
 
 from .test_dedup_ops import components
 
@@ -37,7 +38,7 @@ def documents(spark, tmp_path_factory):
 def test_pipeline_against_brute_force(spark, documents):
     sf_dir, rows = documents
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = language_id.fit(docs, ~corpus_pipeline.held_out(F.col("doc_id"), 3, 1))
+    model = language_id.fit(docs, ~held_out(F.col("doc_id"), 3, 1))
     rejected = {r["doc_id"] for r in language_id.predict(docs, model).where("rejected").collect()}
     assert {1000, 1001, 0} <= rejected and len(rejected) < 15
     left = [r for r in rows if r[0] not in rejected]
