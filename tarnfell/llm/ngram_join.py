@@ -18,9 +18,9 @@ Two documents link when 100 * |A & B| >= 80 * |A | B| over their sets of five-wo
 4. Of a part of several chunks, a few sets of every class found so far are searched together, again
    and again until they fit one chunk; that joins what belongs together across chunks.  Then every
    set of the part is probed, chunk by chunk, in the inverted lists of those that are not in the
-   part's largest class.  So each pair that could still join two classes is met, and a group of
-   near copies costs no more than its size, however large it is.
-5. Connected components over the links, and the smallest document id of each.
+   part's largest class, and connected components over the links that this finds join classes.  So
+   each pair that could still do so is met, and a group of near copies costs about its size.
+5. The smallest document id of each class.
 
 ``join`` needs a tree of links for each class only.  ``links`` returns all of them, between the
 distinct sets (``members`` says which documents share one): there step 4 probes every set in all.
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfell.checkpoints import release
-
 from .common import cut, join_classes
 from .graph import components
 from .text_hash import shingle_sets
@@ -341,57 +340,72 @@ class Classes(dict):
         self[max(x, y)] = min(x, y)
 
 
+def _joined(sets: list[np.ndarray], labels: list[int], percent: int, classes: Classes) -> Iterator[tuple[int, int]]:
+    """Links between sets in order of their sizes that join two classes of labels; classes learns them."""
+    lists = Lists(sets)
+    for x in range(1, len(sets)):
+        for y, _ in lists.linked(sets[x], percent, 2, x, lambda y: classes.root(labels[x]) == classes.root(labels[y])):  # noqa: B023
+            classes.join(labels[x], labels[y])
+            yield x, y
+
+
 def divide_skip(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links between sorted distinct sets, as a forest: positions that join two groups not yet joined."""
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
-    lists, classes, links = Lists([sets[k] for k in order]), Classes(), []
-    for x in range(1, len(order)):
-        for y, _ in lists.linked(sets[order[x]], percent, 2, x, lambda y: classes.root(x) == classes.root(y)):  # noqa: B023
-            classes.join(x, y)
-            links.append((order[x], order[y]))
-    return links
+    return [(order[x], order[y]) for x, y in _joined([sets[k] for k in order], list(range(len(order))), percent, Classes())]
 
 
-LINK = "a long, b long, shared long"
-
-
-def _link_batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    cols = list(zip(*found)) or [()] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "shared"])
+#: What a search says of each set: the label it had, the least label of its class, and of the sets of
+#: parts that are in several chunks the shingles, and whether it stands for its class.
+FOUND = "part long, chunks int, d long, n long, was long, label long, leader boolean, s binary"
+_FOUND_KIND = pa.schema([("part", pa.int64()), ("chunks", pa.int32()), ("d", pa.int64()), ("n", pa.int64()), ("was", pa.int64()), ("label", pa.int64()), ("leader", pa.bool_()), ("s", pa.binary())])
 
 
 def _search(percent: int):
-    """Links within each chunk, from rows (part, chunk, d, s) sorted by (part, chunk, n, d)."""
+    """Classes within each chunk, from rows (part, chunks, chunk, d, n, label, s) sorted by (part, chunk, n, d)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, ids, sets = None, [], []
-
-        def links() -> pa.RecordBatch:
-            return _link_batch([(ids[x], ids[y], 0) for x, y in divide_skip(sets, percent)])
+        unit, ids, labels, sets = None, [], [], []
+        part = chunks = 0
+
+        def found() -> pa.RecordBatch:
+            classes, led = Classes(), Counter()
+            for _ in _joined(sets, labels, percent, classes):
+                pass
+            rows = []
+            for d, was, s in zip(ids, labels, sets):
+                label = classes.root(was)
+                led[label] += 1
+                rows.append((part, chunks, d, len(s), was, label, led[label] <= LEADERS, s.tobytes() if chunks > 1 else None))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND_KIND)], schema=_FOUND_KIND)
 
         for batch in batches:
-            part, chunk, d = (batch.column(k).to_pylist() for k in range(3))
-            s = batch.column(3)
-            for k in range(len(batch)):
-                if unit != (part[k], chunk[k]):
-                    if len(ids) > 1:
-                        yield links()
-                    unit, ids, sets = (part[k], chunk[k]), [], []
-                if ids and ids[-1] == d[k]:
+            cols = [batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5)]
+            s = batch.column(6)
+            for k, (p, wide, chunk, d, label) in enumerate(zip(*cols)):
+                if unit != (p, chunk):
+                    if ids:
+                        yield found()
+                    unit, part, chunks, ids, labels, sets = (p, chunk), p, wide, [], [], []
+                if ids and ids[-1] == d:
                     continue
-                ids.append(d[k])
+                ids.append(d)
+                labels.append(label)
                 sets.append(np.frombuffer(s[k].as_buffer(), np.uint64).copy())
-        if len(ids) > 1:
-            yield links()
+        if ids:
+            yield found()
 
     return run
 
 
+LINK = "a long, b long, shared long"
+
+
 def _probe(percent: int, forest: bool):
     """Links of probes (role 1) with the sets of their unit that are listed (role 0), from rows
     (part, i, j, role, d, label, rest, s) sorted by (part, i, j, role, n, d).
 
-    forest: only those that join two classes; else all.  Of two listed sets the larger stamp probes.
+    forest: labels of classes that are joined; else every two sets.  Of two listed sets the larger stamp probes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,63 +433,69 @@ def _probe(percent: int, forest: bool):
                     return listed and ids[y] >= x or forest and classes.root(labels[y]) == classes.root(c)  # noqa: B023
 
                 for y, shared in lists.linked(own, percent, 1, len(ids), skip):
-                    found.append((d[k], ids[y], shared))
+                    found.append((label[k], labels[y], shared))
                     if forest:
                         classes.join(labels[y], label[k])
-            yield _link_batch(found)
+            cols = list(zip(*found)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "shared"])
 
     return run
 
 
-def _in_chunks(sets: DataFrame, block_shingles: int, block_sets: int) -> DataFrame:
-    """sets (part, d, n) with the weight of their part, into how many chunks it is dealt, and theirs."""
-    parts = cut(sets.groupBy("part").agg(F.sum("n").alias("w"), F.count("*").alias("m")))
-    chunks = F.greatest(F.ceil(F.col("w") / block_shingles), F.ceil(F.col("m") / block_sets)).cast("int")
-    dealt = join_classes(sets, parts.withColumn("chunks", chunks), ["part"], "m")
-    return dealt.withColumn("chunk", F.pmod(F.shiftright("d", 7), F.col("chunks")).cast("int"))
+def _chunks(block_shingles: int, block_sets: int):
+    return F.greatest(F.ceil(F.col("w") / block_shingles), F.ceil(F.col("m") / block_sets)).cast("int").alias("chunks")
 
 
 def _within_chunks(placed: DataFrame, percent: int) -> DataFrame:
     dealt = placed.repartition("part", "chunk").sortWithinPartitions("part", "chunk", "n", "d")
-    return cut(dealt.select("part", "chunk", "d", "s").mapInArrow(_search(percent), LINK))
-
-
-def _labelled(sets: DataFrame, found: DataFrame) -> DataFrame:
-    """sets with label: the smallest stamp of what is linked so far, or their own."""
-    joined = components(found.select("a", "b"))
-    return sets.join(joined.select(F.col("node").alias("d"), "root"), "d", "left").withColumn("label", F.coalesce("root", "d")).drop("root")
-
-
-def _leaders(sets: DataFrame) -> DataFrame:
-    """part, d, n of up to LEADERS sets of every label, by as many hashes."""
-    draw = [F.min(F.struct(F.xxhash64(F.lit(k), "d"), "d", "n")).alias(f"l{k}") for k in range(LEADERS)]
-    some = sets.groupBy("part", "label").agg(*draw).select("part", F.explode(F.array(*[F.struct(f"l{k}.d", f"l{k}.n") for k in range(LEADERS)])).alias("l"))
-    return some.select("part", "l.d", "l.n").distinct()
-
-
-def _across_chunks(placed: DataFrame, labelled: DataFrame, percent: int, block_shingles: int, forest: bool) -> DataFrame:
-    """Links between sets of different labels (all: between any sets) of the same part."""
-    weights = cut(labelled.groupBy("part", "label").agg(F.sum("n").alias("n")))
-    top = weights.groupBy("part").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("k"))
-    if forest:
-        top = top.where("k > 1").withColumn("listed", F.col("all") - F.col("most"))
-    else:
-        top = top.withColumn("top", F.lit(None).cast("long")).withColumn("listed", F.col("all"))
-    top = cut(top.select("part", "top", "all", "listed"))
-    dealt = join_classes(labelled, top, ["part"], "all").withColumn("rest", ~F.col("label").eqNullSafe(F.col("top")))
-    dealt = dealt.withColumn("blocks", F.ceil(F.col("listed") / block_shingles).cast("int"))
-    # enough chunks of probes to spread them, as long as that copies the listed sets COPIES times the part at most
-    spread = F.least(F.col("chunks"), F.floor(COPIES * F.col("all") / F.col("listed")).cast("int"))
-    dealt = dealt.withColumn("probes", F.greatest(F.ceil(F.col("all") / block_shingles).cast("int"), spread))
+    return cut(dealt.select("part", "chunks", "chunk", "d", "n", "label", "s").mapInArrow(_search(percent), FOUND))
+
+
+def _across_chunks(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Links from rows (part, d, n, label, rest, blocks, probes, s): each set probed in those of its part's rest."""
     own, upto = F.shiftright("d", 7), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    dealt = dealt.select("d", "label", "rest", F.pmod(own, F.col("blocks")).cast("int").alias("i"), F.pmod(F.shiftright(own, 11), F.col("probes")).cast("int").alias("j"), "blocks", "probes")
-    rows = placed.select("part", "d", "n", "s").join(dealt, "d")
+    rows = rows.withColumns({"i": F.pmod(own, F.col("blocks")).cast("int"), "j": F.pmod(F.shiftright(own, 11), F.col("probes")).cast("int")})
     listed = rows.where("rest").select("part", "i", F.explode(upto("probes")).alias("j"), F.lit(0).alias("role"), "d", "label", "rest", "n", "s")
     probes = rows.select("part", F.explode(upto("blocks")).alias("i"), "j", F.lit(1).alias("role"), "d", "label", "rest", "n", "s")
     units = listed.unionByName(probes).repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "role", "n", "d")
     return cut(units.select("part", "i", "j", "role", "d", "label", "rest", "s").mapInArrow(_probe(percent, forest), LINK))
 
 
+def _spread(listed: str, block_shingles: int) -> dict:
+    """Into how many blocks a part's listed shingles go, and its probes: enough chunks to spread them, as
+    long as that copies the listed ones to COPIES times the part at most."""
+    spread = F.least(F.col("chunks"), F.floor(COPIES * F.col("w") / F.col(listed)).cast("int"))
+    return {"blocks": F.ceil(F.col(listed) / block_shingles).cast("int"), "probes": F.greatest(F.ceil(F.col("w") / block_shingles).cast("int"), spread)}
+
+
+def _wide_classes(found: DataFrame, percent: int, block_shingles: int, block_sets: int) -> DataFrame:
+    """label, root: over all chunks, the class of each class that a chunk of a wide part has."""
+    classes = cut(found.groupBy("part", "chunks", "label").agg(F.count("*").alias("size"), F.sum("n").alias("n")).withColumn("now", F.col("label")))
+    leaders, left = found.where("leader").select("part", "d", "n", "label", "s"), None
+    while True:
+        weights = leaders.groupBy("part").agg(F.sum("n").alias("w"), F.count("*").alias("m"))
+        weights = cut(weights.select("part", "m", _chunks(block_shingles, block_sets)))
+        m, most = weights.agg(F.sum("m"), F.max("chunks")).first()
+        if left is not None and m > left // 2:  # what is left does not join
+            break
+        left = m
+        # all leaders of a class in one chunk, so that what becomes of it is said once
+        dealt = join_classes(leaders, weights, ["part"], "m").withColumn("chunk", F.pmod(F.xxhash64("label"), F.col("chunks")).cast("int"))
+        led = _within_chunks(dealt, percent)
+        became = led.select("part", F.col("was").alias("now"), F.col("label").alias("next")).distinct()
+        classes = cut(classes.join(became, ["part", "now"], "left").withColumn("now", F.coalesce("next", "now")).drop("next"))
+        if most == 1:
+            break
+        leaders = led.where("leader and chunks > 1").select("part", "d", "n", "label", "s")
+    merged = classes.groupBy("part", "now").agg(F.sum("n").alias("n"))
+    tops = merged.groupBy("part").agg(F.max_by("now", F.struct("n", "now")).alias("top"), F.sum("n").alias("w"), F.max("n").alias("most"), F.count("*").alias("k"))
+    tops = tops.where("k > 1").select("part", "top", "w", (F.col("w") - F.col("most")).alias("listed"))
+    dealt = cut(classes.join(tops, "part").withColumns(_spread("listed", block_shingles)).select("part", "label", "now", "size", (F.col("now") != F.col("top")).alias("rest"), "blocks", "probes"))
+    rows = join_classes(found.select("part", "d", "n", "label", "s"), dealt, ["part", "label"], "size").withColumn("label", F.col("now"))
+    roots = components(_across_chunks(rows, percent, True).select("a", "b"))
+    return classes.join(roots, F.col("now") == F.col("node"), "left").select("label", F.coalesce("root", "now").alias("root"))
+
+
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -495,35 +515,24 @@ def _candidates(rows: DataFrame, shingle_words: int, percent: int, block_shingle
     parts = components(counted.where(F.col("c") >= needed).select("a", "b"))
     nodes = narrow.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     sized = cut(nodes.join(parts, nodes["d"] == parts["node"]).select("rep", "d", "n", F.col("root").alias("part")))
-    dealt = _in_chunks(sized.select("part", "d", "n"), block_shingles, block_sets)
+    weights = cut(sized.groupBy("part").agg(F.sum("n").alias("w"), F.count("*").alias("m")))
+    dealt = join_classes(sized.select("part", "d", "n"), weights.withColumn("chunks", _chunks(block_shingles, block_sets)), ["part"], "m")
     # texts by the ids of candidates, sets by their own stamps: an id may be that of many texts
     texts = rows.join(sized.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
     sets = texts.mapInArrow(_sets(shingle_words), "d long, n long, s binary").drop("n")
-    placed = cut(sets.join(dealt, "d").select("part", "chunks", "chunk", "d", "n", "s"))
-    release(sized)
-    return narrow, placed
+    chunk = F.pmod(F.shiftright("d", 7), F.col("chunks")).cast("int").alias("chunk")
+    return narrow, sets.join(dealt, "d").select("part", "w", "chunks", chunk, "d", "n", F.col("d").alias("label"), "s")
 
 
-def _forest(placed: DataFrame, percent: int, block_shingles: int, block_sets: int) -> DataFrame:
-    """Links that make classes of the sets."""
+def _classes(placed: DataFrame, percent: int, block_shingles: int, block_sets: int) -> DataFrame:
+    """d, label: the class of every set that may link."""
     found = _within_chunks(placed, percent)
-    wide = placed.where("chunks > 1")
+    own = found.select("d", "label")
+    wide = found.where("chunks > 1")
     if wide.isEmpty():
-        return found
-    sets = wide.select("part", "chunks", "d", "n").distinct()
-    left = None
-    while True:
-        labelled = cut(_labelled(sets, found))  # classes so far
-        leaders = cut(_in_chunks(_leaders(labelled), block_shingles, block_sets))
-        n, most = leaders.agg(F.count("*"), F.max("chunks")).first()
-        if left is not None and n > left // 2:  # what is left does not join
-            break
-        found = found.unionByName(_within_chunks(placed.select("d", "s").join(leaders, "d"), percent))
-        if most == 1:
-            labelled = cut(_labelled(sets, found))
-            break
-        left = n
-    return found.unionByName(_across_chunks(wide, labelled, percent, block_shingles, True))
+        return own
+    over = _wide_classes(wide, percent, block_shingles, block_sets).withColumnRenamed("label", "of")
+    return own.join(over, F.col("label") == F.col("of"), "left").select("d", F.coalesce("root", "label").alias("label"))
 
 
 def join(
@@ -538,9 +547,8 @@ def join(
     text are read.
     """
     narrow, placed = _candidates(_documents(docs, id_col, text_col), shingle_words, percent, block_shingles, block_sets)
-    joined = components(_forest(placed, percent, block_shingles, block_sets).select("a", "b"))
-    release(placed)
-    labelled = cut(narrow.where("n > 0").join(joined, narrow["d"] == joined["node"], "left").select("doc_id", "n", F.coalesce("root", "d").alias("label")))
+    classes = _classes(placed, percent, block_shingles, block_sets)
+    labelled = cut(narrow.where("n > 0").join(classes, "d", "left").select("doc_id", "n", F.coalesce("label", "d").alias("label")))
     names = cut(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")))
     full = join_classes(labelled, names, ["label"], "size").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(narrow.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
@@ -562,8 +570,7 @@ def links(
     distinct sets.  Edge cases are those of ``join``.
     """
     _, placed = _candidates(_documents(docs, id_col, text_col), shingle_words, percent, block_shingles, block_sets)
-    sets = placed.select("part", "chunks", "d", "n").distinct().withColumn("label", F.col("d"))
-    found = _across_chunks(placed, cut(sets), percent, block_shingles, False)
+    found = _across_chunks(placed.withColumn("rest", F.lit(True)).withColumns(_spread("w", block_shingles)), percent, False)
     return found.select(F.least("a", "b").alias("set_id"), F.greatest("a", "b").alias("other_id"), "shared")
 
 
