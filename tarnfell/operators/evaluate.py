@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+from typing import Protocol
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnfell.checkpoints import cut
 from tarnfell.functions.geo import haversine
+from tarnfell.sources import landing
 
 from .region import centroid, constraints, seeds
+from .selection import COMPARED, strategy
 
 BUDGETS = range(100, 2501, 100)
 MISSING_KM = 10_000.0
@@ -47,11 +54,20 @@ def overlap_centroid(measured: DataFrame, locations: DataFrame, keys: list[str])
     return rows.select(*keys, F.size("constraints").alias("n_vps"), centroid("constraints", "seed_lat", "seed_lon").alias("p")).select(*keys, "n_vps", "p.lat", "p.lon")
 
 
+class Converter(Protocol):
+    """From measurements (keys, src, rtt) to positions (keys, lat, lon); no row where it has none."""
+
+    def __call__(self, measured: DataFrame, locations: DataFrame, keys: list[str]) -> DataFrame: ...
+
+
+#: By mode; others can be added.
+CONVERTERS: dict[str, Converter] = dict(zip(MODES, (nearest, overlap_centroid)))
+
+
 def estimate(measured: DataFrame, locations: DataFrame, keys: list[str], mode: str = MODES[1]) -> DataFrame:
-    if mode not in MODES:
-        raise ValueError(f"unknown mode {mode!r}; one of {MODES}")
-    made = nearest(measured, locations, keys) if mode == MODES[0] else overlap_centroid(measured, locations, keys)
-    return made.select(*keys, "lat", "lon")
+    if mode not in CONVERTERS:
+        raise ValueError(f"unknown mode {mode!r}; one of {sorted(CONVERTERS)}")
+    return CONVERTERS[mode](measured, locations, keys).select(*keys, "lat", "lon")
 
 
 def estimate_asof(picks: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -79,6 +95,24 @@ def budget_curve(picks: DataFrame, edges: DataFrame, locations: DataFrame, budge
     return rows.groupBy("strategy", "budget").agg(F.count("lat").alias("targets_found"), F.count("*").alias("n_targets"), F.avg("error_km").alias("avg_error_km"))
 
 
+def compare(edges: DataFrame, locations: DataFrame, names: Iterable[str] = COMPARED, budgets=BUDGETS, mode: str = MODES[1], cache: str | None = None) -> DataFrame:
+    """The budget curves of several strategies, by their own picks up to the largest budget.
+
+    With a folder as cache, each strategy's curve is kept there under its name, the mode, the budgets
+    and a fingerprint of edges and locations, and read back where nothing of that has changed.
+    """
+    spark, budgets = edges.sparkSession, sorted(budgets)
+
+    def curve(name: str) -> DataFrame:
+        chosen = cut(strategy(name)(edges, locations, budgets[-1]))
+        return budget_curve(chosen, edges, locations, budgets_frame(spark, budgets), mode)
+
+    if cache is None:
+        return reduce(DataFrame.unionByName, [curve(name) for name in names])
+    kept = [landing.cached(spark, cache, f"curve-{name}", lambda name=name: curve(name), (edges, locations), strategy=name, mode=mode, budgets=budgets) for name in names]
+    return reduce(DataFrame.unionByName, kept)
+
+
 def utility_snapshot(trace: DataFrame, window: int = 500) -> DataFrame:
     """Per ping_num of the trace: averages over the last ``window`` pings, and the one furthest off."""
     last = Window.orderBy("ping_num").rowsBetween(-(window - 1), 0)  # the trace is as long as the budget

@@ -42,11 +42,14 @@ def min_rtt_edges(pings: DataFrame, locations: DataFrame) -> DataFrame:
     return plausible(pings, locations).groupBy("src", "dst").agg(F.min("rtt").alias("rtt"))
 
 
+def explode_sources(by_src: DataFrame, column: str = "dsts") -> DataFrame:
+    """src, dst, rtt of a row a source (and hour) with a map destination -> RTT list."""
+    return by_src.select("src", F.explode(column).alias("dst", "rtts")).select("src", "dst", F.explode("rtts").alias("rtt"))
+
+
 def explode_summary(summaries: DataFrame, column: str = "summary") -> DataFrame:
-    """src, dst, rtt of nested maps source -> destination -> RTT list."""
-    by_src = summaries.select(F.explode(column).alias("src", "dsts"))
-    by_dst = by_src.select("src", F.explode("dsts").alias("dst", "rtts"))
-    return by_dst.select("src", "dst", F.explode("rtts").alias("rtt"))
+    """src, dst, rtt of nested maps source -> destination -> RTT list, as whole summary files have them."""
+    return explode_sources(summaries.select(F.explode(column).alias("src", "dsts")))
 
 
 def available(edges: DataFrame) -> DataFrame:

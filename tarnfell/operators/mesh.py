@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfell.checkpoints import cut
+from tarnfell.checkpoints import cut, release
 
 RATIO, DECAY, MIN_NODES, MIN_RATIO = 0.8, 0.9, 500, 0.05
 
@@ -39,16 +39,20 @@ def prune_round(edges: DataFrame, pool: DataFrame, ratio: float, n: int) -> Data
 def prune(edges: DataFrame, ratio: float = RATIO) -> tuple[DataFrame, int]:
     """Survivors of pruning to a fixpoint, and the rounds that removed something.
 
-    Every round works on the edges that the one before left, and cuts its lineage.
+    Every round works on the edges that the one before left, and cuts its lineage; what that one left is deleted.
     """
-    pool = cut(nodes(edges))
+    pool, given = cut(nodes(edges)), edges
     n, rounds = pool.count(), 0
     while n > 1:
         left = cut(prune_round(edges, pool, ratio, n))
         m = left.count()
         if m == n:
+            release(left)
             break
-        edges = cut(induced(edges, left))
+        before, edges = edges, cut(induced(edges, left))
+        if before is not given:
+            release(before)
+        release(pool)
         pool, n, rounds = left, m, rounds + 1
     return pool, rounds
 

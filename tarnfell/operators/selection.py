@@ -6,14 +6,16 @@ All orders are total: ties go by src, targets by dst, so results do not depend o
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfell.checkpoints import cut
+from tarnfell.checkpoints import cut, release
 from tarnfell.functions.geo import EXPECTED_INFLATION, KM_PER_MS, MAX_REGION_KM, UNMEASURED_UTILITY, haversine
 
 from .region import Region, distance_km
@@ -188,7 +190,43 @@ def greedy_picks_intended(edges: DataFrame, locations: DataFrame, limit: int, **
             return ordered.drop("depth")
         depth *= 2
         deeper = greedy_trace(edges.join(more, "dst", "left_semi"), locations, depth, **options).withColumn("depth", F.lit(depth))
-        trace = cut(trace.join(more, "dst", "left_anti").unionByName(deeper))
+        before, trace = trace, cut(trace.join(more, "dst", "left_anti").unionByName(deeper))
+        for old in (before, ordered, more):
+            release(old)
+
+
+class Strategy(Protocol):
+    """Orders measurements: picks (strategy, seq, src, dst, rtt), of which a budget takes a prefix."""
+
+    def __call__(self, edges: DataFrame, locations: DataFrame, limit: int) -> DataFrame: ...
+
+
+def rtt_rank_picks(edges: DataFrame, limit: int, n: int = CANDIDATES) -> DataFrame:
+    """A round robin by RTT rank, without looking at where anything is."""
+    return picks(interleave(oracle_candidates(edges, n), limit), "rtt_rank")
+
+
+#: By name; others can be added.
+STRATEGIES: dict[str, Strategy] = {
+    "smart_perfect": oracle_picks,
+    "random": lambda edges, locations, limit: random_picks(edges, limit),
+    "iterative_greedy": lambda edges, locations, limit: greedy_as_written(edges, limit),
+    "intended_greedy": lambda edges, locations, limit: picks(greedy_picks_intended(edges, locations, limit), "intended_greedy"),
+    "rtt_rank": lambda edges, locations, limit: rtt_rank_picks(edges, limit),
+}
+#: Those that are compared unless told otherwise.
+COMPARED = ("smart_perfect", "random", "iterative_greedy")
+
+
+def strategy(name: str) -> Strategy:
+    if name not in STRATEGIES:
+        raise ValueError(f"unknown strategy {name!r}; one of {sorted(STRATEGIES)}")
+    return STRATEGIES[name]
+
+
+def all_picks(edges: DataFrame, locations: DataFrame, limit: int, names: Iterable[str] = COMPARED) -> DataFrame:
+    """The picks of several strategies under each other."""
+    return reduce(DataFrame.unionByName, [strategy(name)(edges, locations, limit) for name in names])
 
 
 def remaining(edges: DataFrame, used: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnfell.checkpoints import cut
+from tarnfell.checkpoints import checkpoint_root, cut
 from tarnfell.functions import geo
 from tarnfell.operators import charts, evaluate, latency, mesh, region, selection
 from tarnfell.sources import ingest
@@ -59,11 +60,14 @@ class Data(Fixture):
         return selection.oracle_candidates(self.edges)
 
     def picks(self, limit: int = MAX_BUDGET) -> DataFrame:
-        return cut(
-            selection.random_picks(self.edges, limit)
-            .unionByName(selection.greedy_as_written(self.edges, limit))
-            .unionByName(selection.picks(selection.interleave(self.ranked, limit), "rtt_rank"))
-        )
+        return cut(selection.all_picks(self.edges, self.locations, limit, ("random", "iterative_greedy", "rtt_rank")))
+
+    @property
+    def hourly_layer(self) -> DataFrame:
+        """The hourly summaries, written by partition and read back."""
+        path = f"{checkpoint_root(self.spark)}/hours-{uuid.uuid4().hex}"
+        ingest.write_partitioned(ingest.hourly_summary(self.subnets), path, "hr")
+        return self.spark.read.schema("src string, dst string, rtts array<double>, hr long").parquet(path)
 
 
 def query(make: Callable[[Data], DataFrame]) -> Callable[[Data], DataFrame]:
@@ -193,19 +197,18 @@ def hourly_summary(d: Data) -> DataFrame:
 
 @query
 def explode_summary(d: Data) -> DataFrame:
-    by_dst = ingest.hourly_summary(d.subnets).groupBy("hr", "src").agg(F.map_from_entries(F.collect_list(F.struct("dst", "rtts"))).alias("dsts"))
-    nested = by_dst.groupBy("hr").agg(F.map_from_entries(F.collect_list(F.struct("src", "dsts"))).alias("summary"))
-    return latency.explode_summary(nested).select("src", "dst", "rtt")
+    by_src = ingest.hourly_summary(d.subnets).groupBy("hr", "src").agg(F.map_from_entries(F.collect_list(F.struct("dst", "rtts"))).alias("dsts"))
+    return latency.explode_sources(by_src)
 
 
 @query
 def export_latest(d: Data) -> DataFrame:
-    return ingest.merge_hours(ingest.hourly_summary(d.subnets)).select("src", "dst", as_text("rtts").alias("rtts"))
+    return ingest.merge_hours(d.hourly_layer).select("src", "dst", as_text("rtts").alias("rtts"))
 
 
 @query
 def first_n_hours(d: Data) -> DataFrame:
-    early = ingest.first_hours(ingest.hourly_summary(d.subnets))
+    early = ingest.first_hours(d.hourly_layer)
     return early.select("hr", "src", "dst", as_text("rtts").alias("rtts"))
 
 
@@ -466,12 +469,7 @@ def budget_curve(d: Data) -> DataFrame:
 @query
 def budget_curve_centroid(d: Data) -> DataFrame:
     """The reference's comparison: its three strategies, its budgets, its way to estimate."""
-    chosen = (
-        selection.oracle_picks(d.edges, d.locations, MAX_BUDGET)
-        .unionByName(selection.random_picks(d.edges, MAX_BUDGET))
-        .unionByName(selection.greedy_as_written(d.edges, MAX_BUDGET))
-    )
-    rows = evaluate.budget_curve(cut(chosen), d.edges, d.locations, evaluate.budgets_frame(d.spark), evaluate.MODES[1])
+    rows = evaluate.compare(d.edges, cut(d.locations))
     return rows.select("strategy", "budget", "targets_found", "n_targets", r6("avg_error_km", "avg_error_km"))
 
 

@@ -88,16 +88,16 @@ def parse_pings(lines: DataFrame) -> DataFrame:
     Other columns of lines stay.
     """
     record = F.from_json("value", PING, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    told = lambda field: F.get_json_object("value", f"$.{field}").isNotNull() | F.col("value").rlike(f'"{field}"\\s*:\\s*null')
     rows = lines.select("*", record.alias("r"))
-    address = lambda field: F.when(told(field), F.col(f"r.{field}")).otherwise("")
+    kind = F.schema_of_variant("r.min")
+    address = lambda field: F.when(F.col(f"r.{field}").isNotNull(), F.try_variant_get(F.col(f"r.{field}"), "$", "string")).otherwise("")
     return rows.select(
         *[c for c in lines.columns if c != "value"],
         F.col("r.prb_id").alias("prb_id"),
         address("src_addr").alias("src_addr"),
         address("dst_addr").alias("dst_addr"),
-        F.when(told("min"), F.col("r.min")).otherwise(F.lit(-1.0)).alias("rtt"),
-        (F.col("r").isNull() | F.col("r._corrupt_record").isNotNull() | ~F.ltrim("value").startswith("{")).alias("corrupt"),
+        F.when(F.col("r.min").isNotNull(), F.try_variant_get(F.col("r.min"), "$", "double")).otherwise(F.lit(-1.0)).alias("rtt"),
+        (F.col("r").isNull() | F.col("r._corrupt_record").isNotNull() | ~F.ltrim("value").startswith("{") | F.coalesce(kind.rlike("^(STRING|BOOLEAN|OBJECT|ARRAY)"), F.lit(False))).alias("corrupt"),
     )
 
 
@@ -138,8 +138,8 @@ def first_hours(hourly: DataFrame, n: int | None = FIRST_HOURS, hour: str = "hr"
     """Rows of the n earliest hours.  On the partitioned layer only those partitions are read."""
     if n is None:
         return hourly
-    earliest = hourly.select(hour).distinct().orderBy(hour).limit(n)
-    return hourly.join(F.broadcast(earliest), hour, "left_semi")  # n rows
+    earliest = [r[0] for r in hourly.select(hour).distinct().orderBy(hour).limit(n).collect()]  # n values
+    return hourly.where(F.col(hour).isin(earliest))
 
 
 def latest_probes(daily: DataFrame) -> DataFrame:

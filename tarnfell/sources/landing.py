@@ -13,6 +13,7 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 TRIES, BACKOFF_S, TIMEOUT_S = 3, 5.0, 120.0
@@ -62,9 +63,18 @@ def config_key(**config: Any) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
-def cached(spark: SparkSession, root: str, name: str, make: Callable[[], DataFrame], **config: Any) -> DataFrame:
-    """make()'s rows as Parquet under a key of the whole configuration; read back if they are there."""
-    path = f"{root}/{name}-{config_key(**config)}"
+def fingerprint(*frames: DataFrame) -> list[list]:
+    """Rows, and the sum of their hashes, of each frame: what a result depends on, in one pass each."""
+    out = []
+    for df in frames:
+        hashed = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]).cast("decimal(38,0)")
+        out.append([sorted(df.dtypes), *map(str, df.agg(F.count("*"), F.sum(hashed)).first())])
+    return out
+
+
+def cached(spark: SparkSession, root: str, name: str, make: Callable[[], DataFrame], data: tuple[DataFrame, ...] = (), **config: Any) -> DataFrame:
+    """make()'s rows as Parquet under a key of the whole configuration and of the data; read back if they are there."""
+    path = f"{root}/{name}-{config_key(data=fingerprint(*data), **config)}"
     try:
         return spark.read.parquet(path)
     except AnalysisException:

@@ -17,8 +17,11 @@ SNAPSHOT_RECORD = _fields(
 )
 #: The column that each field of a snapshot record becomes.
 PROBE_NAMES = {"id": "prb_id", "country_code": "country", "status_name": "status"}
-PING = _fields(("prb_id", _L), ("src_addr", _S), ("dst_addr", _S), ("min", _D), ("_corrupt_record", _S))
-HOURLY = _fields(("dump_hour", T.TimestampType()), ("src", _S), ("dst", _S), ("rtts", T.ArrayType(_D)))
+#: Variants tell a field that is missing (no value) from one that is null (a variant null) in one parse.
+_V = T.VariantType()
+PING = _fields(("prb_id", _L), ("src_addr", _V), ("dst_addr", _V), ("min", _V), ("_corrupt_record", _S))
+PROBES_DAILY = _fields(("pos", _L), *((PROBE_NAMES.get(f.name, f.name), f.dataType) for f in SNAPSHOT_RECORD.fields), ("snapshot_date", T.DateType()))
+HOURLY = _fields(("src", _S), ("dst", _S), ("rtts", T.ArrayType(_D)), ("dump_hour", T.TimestampType()))
 LOCATIONS = _fields(("addr", _S), ("lat", _D), ("lon", _D))
 EDGES = _fields(("src", _S), ("dst", _S), ("rtt", _D))
 PICKS = _fields(("strategy", _S), ("seq", _L), ("src", _S), ("dst", _S), ("rtt", _D))
