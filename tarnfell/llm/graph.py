@@ -10,11 +10,23 @@ from tarnfell.checkpoints import release
 from .common import cut
 
 
+#: There are at most two over this share of hubs.
+HUB_SHARE = 1 / 256
+
+
+def _meet(edges: DataFrame, least: DataFrame, node: str, n_edges: int) -> DataFrame:
+    """edges with m, the least neighbour of their node (least: node, m, k edges)."""
+    hub = F.col("k") > HUB_SHARE * n_edges
+    hubs, others = F.broadcast(least.where(hub)), least.where(~hub)
+    return edges.join(hubs.select(node), node, "left_anti").join(others, node).unionByName(edges.join(hubs, node))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (a, b): root is the smallest node it reaches.
 
-    Each step joins edges with the least neighbour per node, which is summed before it meets, so a
-    node with very many edges is spread by adaptive execution.  Lineage is cut after every round, and the round before deleted.
+    Each step joins edges with the least neighbour per node, which is summed before it meets; that
+    of a hub, a node with more than HUB_SHARE of the edges, is broadcast, so its edges stay spread.
+    Lineage is cut after every round, and the round before deleted.
     """
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     now = cut(edges.where("a <> b").select(low, high).distinct())
@@ -22,10 +34,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = now.agg(stamp).first()["x"]
     while before["n"]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        near = large.groupBy("b").agg(F.min("a").alias("m"))
-        linked = large.join(near, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b")))).alias("e"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k")).select("a", F.least("a", "m").alias("m"), "k")
+        large = _meet(both.where("b > a"), least, "a", before["n"]).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        near = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("k"))
+        linked = _meet(large, near, "b", before["n"]).select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b")))).alias("e"))
         held, now = now, cut(linked.select("e.a", "e.b").where("a <> b").distinct())
         release(held)
         after = now.agg(stamp).first()["x"]
