@@ -49,7 +49,9 @@ def test_best_chains_are_those_of_brute_force(pieces):
     text = " ".join(pieces)
     words = text.split()
     scanner = license_scan.Scanner({}, SMALL, {})
-    spans = scanner.scan(text.encode())["spans"]
+    found = scanner.scan(text.encode())
+    spans = found["spans"]
+    assert found["labels"] == ",".join(sorted({s["label"] for s in spans})) and found["score"] == max((s["cover"] for s in spans), default=0.0)
     at = 0
     for label, texts in SMALL.items():
         for t in texts:

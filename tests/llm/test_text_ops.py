@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -131,6 +132,15 @@ def test_prefix_targets(spark):
     assert chat_format.read_back(chat_format.examples(df.limit(0))).count() == 0
 
 
+def test_a_conversation_of_very_many_turns(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"<s> turn {k}") for k in range(700)]
+    made = chat_format.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert made.count() == 350
+    back = chat_format.read_back(made).first()
+    assert [t["text"] for t in back["turns"]] == [r[3] for r in rows]
+    assert back["loss_text"] == "".join(r[3] for r in rows if r[2] == "assistant")
+
+
 # --- languages ----------------------------------------------------------------------------------
 @needs_tables
 def test_held_out_languages(spark):
@@ -161,6 +171,30 @@ def test_language_edge_cases(spark):
     assert language_id.fit(unlabelled, F.lit(True)).langs == []
 
 
+def test_language_calibration_and_rejection_are_those_of_brute_force():
+    rng = random.Random(9)
+    mixed = lambda: " ".join("".join(rng.choices(["th", "ing", "er"] if rng.random() < share else ["sch", "ung", "ein"], k=2)) for _ in range(6))
+    rows = []
+    for _ in range(600):
+        share = rng.choice([0.35, 0.65, 0.9, 0.1])
+        rows.append((mixed(), "aa" if rng.random() < share else "bb"))
+    model = language_id.train(rows[:400])
+    texts = [t for t, _ in rows[400:]] + ["123", "", "thing 1"]
+    lang, score, rejected = model.predict(pa.array([*texts, None]))
+    for text, a, b, c in zip([*texts, None], lang, score, rejected):
+        if not any(map(str.isalpha, text or "")):
+            assert (a, b, c) == ("und", 0.0, True)
+            continue
+        found, weights = language_id._bag(text.encode())
+        z = [sum(w * float(model.table[k, f]) for f, w in zip(found, weights)) / model.temperature for k in range(2)]
+        p = [math.exp(x - max(z)) for x in z]
+        p = [x / sum(p) for x in p]
+        assert a == model.langs[p.index(max(p))] and b == pytest.approx(max(p), abs=1e-4) and (abs(b - model.threshold) < 1e-4 or c == (b < model.threshold))
+    # scores say how often a prediction is right, which at labels like these is far from always
+    right = np.array([x == y for x, (_, y) in zip(lang, rows[400:])])
+    assert abs(score[:200].mean() - right.mean()) < 0.1 and right.mean() < 0.9 and model.threshold <= 0.6
+
+
 def test_language_scores_do_not_depend_on_pieces(monkeypatch):
     model = language_id.train(_languages())
     texts = [t for t, _ in _languages()[::7]] + ["", "ß", "a b", "theißung " * 50]
