@@ -306,6 +306,13 @@ def mesh_adaptive(d: Data) -> DataFrame:
     return found.nodes.select("addr", r6(F.lit(found.ratio), "ratio"), F.lit(found.relaxations).alias("relaxations"))
 
 
+@query
+def mesh_defaults(d: Data) -> DataFrame:
+    """With the reference's ratio, decay and least size; without SQL, as that has its own."""
+    found = mesh.adaptive(d.edges)
+    return found.nodes.select("addr", r6(F.lit(found.ratio), "ratio"), F.lit(found.relaxations).alias("relaxations"), F.lit(found.enough).alias("enough"))
+
+
 @query
 def mesh_edges(d: Data) -> DataFrame:
     return mesh.mesh_edges(d.edges, mesh.prune(d.edges, RATIO)[0])
@@ -473,6 +480,13 @@ def budget_curve_centroid(d: Data) -> DataFrame:
     return rows.select("strategy", "budget", "targets_found", "n_targets", r6("avg_error_km", "avg_error_km"))
 
 
+@query
+def budget_curve_nearest(d: Data) -> DataFrame:
+    """The same strategies and the intended greedy order, estimated by the nearest vantage point."""
+    rows = evaluate.compare(d.edges, cut(d.locations), (*selection.COMPARED, "intended_greedy"), mode=evaluate.MODES[0])
+    return rows.select("strategy", "budget", "targets_found", "n_targets", r6("avg_error_km", "avg_error_km"))
+
+
 # --- chart tables -------------------------------------------------------------------------------
 @query
 def curve_labels(d: Data) -> DataFrame:

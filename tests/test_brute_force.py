@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tarnfell.operators import evaluate, region, selection
+from tarnfell.operators import evaluate, mesh, region, selection
 
 EDGES = "src string, dst string, rtt double"
 
@@ -166,3 +166,46 @@ def test_centroid_curve(spark):
             seed = tuple(sum(c[k] for c in circles) / len(circles) for k in (0, 1)) if circles else None
             errors.append(10_000.0 if not circles else km(circles[0][:2] if len(circles) == 1 else simplex_search(seed, circles), at[dst]))
         assert (r["targets_found"], r["n_targets"]) == (found, len(errors)) and r["avg_error_km"] == pytest.approx(sum(errors) / len(errors), abs=1e-3)
+
+
+def test_nearest_curve(spark):
+    at, pairs, locations, df = world(spark)
+    names = (*selection.COMPARED, "intended_greedy")
+    rows = evaluate.compare(df, locations, names, (4, 11, 99), evaluate.MODES[0]).collect()
+    assert {r["strategy"] for r in rows} == set(names) and len(rows) == 12
+    for r in rows:
+        best = {}
+        for p in selection.strategy(r["strategy"])(df, locations, r["budget"]).collect():
+            best[p["dst"]] = min(best.get(p["dst"], (math.inf, "")), (p["rtt"], p["src"]))
+        errors = [km(at[best[d][1]], at[d]) if d in best else 10_000.0 for d in {d for _, d in pairs}]
+        assert r["targets_found"] == len(best) and r["avg_error_km"] == pytest.approx(sum(errors) / len(errors), abs=1e-6)
+
+
+@pytest.mark.parametrize("ratio, decay, least", [(0.8, 0.9, 500), (0.8, 0.9, 9), (0.95, 0.7, 5), (0.8, 0.9, 1)])
+def test_adaptive_mesh(spark, ratio, decay, least):
+    rng = random.Random(4)
+    names = [f"m{k}" for k in range(14)]
+    pairs = {(a, b) for i, a in enumerate(names) for j, b in enumerate(names) if rng.random() < 0.95 - 0.05 * min(i, j)}
+
+    def survivors(share):
+        pool = {x for p in pairs for x in p}
+        while len(pool) > 1:
+            own = [(a, b) for a, b in pairs if a in pool and b in pool and a != b]
+            bound = share * (len(pool) - 1)
+            left = {x for x in pool if sum(a == x for a, _ in own) >= bound and sum(b == x for _, b in own) >= bound}
+            if left == pool:
+                break
+            pool = left
+        return pool
+
+    share, tries, best = ratio, 0, (set(), ratio)
+    while True:
+        pool = survivors(share)
+        if len(pool) > len(best[0]) or tries == 0:
+            best = pool, share
+        if len(pool) >= least or len({x for p in pairs for x in p}) < least or share * decay < mesh.MIN_RATIO:
+            break
+        share, tries = share * decay, tries + 1
+    found = mesh.adaptive(spark.createDataFrame([(*p, 1.0) for p in sorted(pairs)], EDGES), ratio, decay, least)
+    assert {r["addr"] for r in found.nodes.collect()} == (pool if len(pool) >= least else best[0]) and found.relaxations == tries
+    assert found.enough == (len(pool) >= least) and found.ratio == pytest.approx(share if found.enough else best[1])
