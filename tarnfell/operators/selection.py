@@ -141,10 +141,14 @@ def shrinkage(lat: np.ndarray, lon: np.ndarray, region: Region, rtt_model: Calla
 TRACE = "dst string, k int, src string, rtt double, utility double, actual_util double, predicted_rtt double"
 
 
-def greedy_trace(edges: DataFrame, locations: DataFrame, depth: int, utility: Callable = shrinkage, rtt_model: Callable = model_rtt, priors: DataFrame | None = None) -> DataFrame:
+def greedy_trace(
+    edges: DataFrame, locations: DataFrame, depth: int, utility: Callable = shrinkage, rtt_model: Callable = model_rtt, priors: DataFrame | None = None, known: DataFrame | None = None
+) -> DataFrame:
     """Per target the first ``depth`` greedy picks with expected and actual utility (TRACE).
 
     utility and rtt_model see one target's region only, so targets are independent of each other.
+    known (dst, k) names targets' first picks; their regions are carried on from there and only the
+    picks after them are returned.
     """
     vp = locations.select(F.col("addr").alias("src"), F.col("lat").alias("vp_lat"), F.col("lon").alias("vp_lon"))
     rows = edges.join(vp, "src")
@@ -152,35 +156,41 @@ def greedy_trace(edges: DataFrame, locations: DataFrame, depth: int, utility: Ca
         rows = rows.join(priors.select("dst", F.col("lat").alias("prior_lat"), F.col("lon").alias("prior_lon")), "dst", "left")
     else:
         rows = rows.withColumns({"prior_lat": F.lit(0.0), "prior_lon": F.lit(0.0)})
+    rows = rows.withColumn("k", F.lit(None).cast("int")) if known is None else rows.join(known.select("dst", "src", "k"), ["dst", "src"], "left")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("src")
         lat, lon, rtt = (group[c].to_numpy() for c in ("vp_lat", "vp_lon", "rtt"))
         prior = group[["prior_lat", "prior_lon"]].fillna(0.0).iloc[0]
         region, left, out, size = Region((prior.iloc[0], prior.iloc[1])), np.arange(len(group)), [], MAX_REGION_KM
-        while len(left) and len(out) < depth:
+        done = np.flatnonzero(group["k"].notna().to_numpy())
+        for k in done[np.argsort(group["k"].to_numpy()[done])]:
+            region.add(lat[k], lon[k], rtt[k])
+        if len(done):
+            size, left = region.size(), np.delete(left, done)
+        while len(left) and len(done) + len(out) < depth:
             gains = utility(lat[left], lon[left], region, rtt_model) if len(region.lat) else np.full(len(left), UNMEASURED_UTILITY)
             best = int(np.argmax(gains))
             k = left[best]
             region.add(lat[k], lon[k], rtt[k])
             now = region.size()
             predicted = float(rtt_model(lat[k : k + 1], lon[k : k + 1], region)[0])
-            out.append((group["dst"].iloc[0], len(out) + 1, group["src"].iloc[k], rtt[k], float(gains[best]), size - now, predicted))
+            out.append((group["dst"].iloc[0], len(done) + len(out) + 1, group["src"].iloc[k], rtt[k], float(gains[best]), size - now, predicted))
             size, left = now, np.delete(left, best)
         return pd.DataFrame(out, columns=["dst", "k", "src", "rtt", "utility", "actual_util", "predicted_rtt"])
 
     return spread(rows, "dst").groupBy("dst").applyInPandas(run, TRACE)
 
 
-def greedy_picks_intended(edges: DataFrame, locations: DataFrame, limit: int, **options) -> DataFrame:
+def greedy_picks_intended(edges: DataFrame, locations: DataFrame, limit: int, depth: int | None = None, **options) -> DataFrame:
     """Greedy picks with utilities that are taken anew after each measurement; columns of the trace and seq.
 
     Sequences are computed to a depth, which is doubled for those targets only whose whole prefix
-    is within the limit while they have more sources to offer.
+    is within the limit while they have more sources to offer; they go on from where they were.
     """
     sizes = edges.groupBy("dst").agg(F.count("*").alias("n"))
     n_targets = sizes.count()
-    depth = max(2, -(-2 * limit // max(1, n_targets)))
+    depth = depth or max(2, -(-2 * limit // max(1, n_targets)))
     trace = cut(greedy_trace(edges, locations, depth, **options).withColumn("depth", F.lit(depth)))
     while True:
         ordered = cut(greedy_order(trace, limit))
@@ -189,8 +199,10 @@ def greedy_picks_intended(edges: DataFrame, locations: DataFrame, limit: int, **
         if not more.limit(1).count():
             return ordered.drop("depth")
         depth *= 2
-        deeper = greedy_trace(edges.join(more, "dst", "left_semi"), locations, depth, **options).withColumn("depth", F.lit(depth))
-        before, trace = trace, cut(trace.join(more, "dst", "left_anti").unionByName(deeper))
+        known = trace.join(more, "dst", "left_semi")
+        deeper = greedy_trace(edges.join(more, "dst", "left_semi"), locations, depth, known=known, **options)
+        rest = trace.join(more, "dst", "left_anti")
+        before, trace = trace, cut(rest.unionByName(known.drop("depth").unionByName(deeper).withColumn("depth", F.lit(depth))))
         for old in (before, ordered, more):
             release(old)
 

@@ -153,6 +153,15 @@ def test_intended_greedy_at_every_step(spark, seed):
         assert (r["utility"], r["actual_util"], r["predicted_rtt"]) == pytest.approx((gain, actual, predicted), abs=1e-4)
 
 
+@pytest.mark.parametrize("limit", [9, 20, 10_000])
+def test_deepened_greedy_is_the_deep_one(spark, limit):
+    _, _, locations, df = world(spark, n=7, seed=5)
+    deep, shallow = (selection.greedy_picks_intended(df, locations, limit, depth=d).orderBy("seq").collect() for d in (50, 1))
+    assert [tuple(r[c] for c in ("seq", "k", "src", "dst", "rtt")) for r in shallow] == [tuple(r[c] for c in ("seq", "k", "src", "dst", "rtt")) for r in deep]
+    for a, b in zip(shallow, deep):
+        assert (a["utility"], a["actual_util"], a["predicted_rtt"]) == pytest.approx((b["utility"], b["actual_util"], b["predicted_rtt"]))
+
+
 def test_centroid_curve(spark):
     at, pairs, locations, df = world(spark)
     rows = evaluate.compare(df, locations, ("random", "smart_perfect"), (3, 9, 99)).collect()
