@@ -8,8 +8,9 @@ Two documents link when 100 * |A & B| >= 80 * |A | B| over their sets of five-wo
 2. Linked sets of size n share one of the first n - ceil(0.8 n) + 1 shingles in that order; the
    inverted lists of those are short.  Pairs within lists of up to SHORT_LIST sets are counted, and
    a pair stays if the count can still lead to the required overlap, as in T-occurrence search.
-   The sets of a longer list are tied to its first one instead, so no list makes many pairs.  The
-   pairs and ties that stay divide the sets into connected parts.
+   The sets of a longer list are tied to its first one instead, so no list makes many pairs; a task
+   ties what it has met too often itself, so no list gathers in one task either.  The pairs and ties
+   that stay divide the sets into connected parts.
 3. Only sets in parts of two or more travel on.  A part is dealt out in chunks of up to BLOCK_SETS
    sets, and each is searched by DivideSkip: for each set the short inverted lists are merged, sets
    that occur often enough are probed in the long lists by binary search, and those that reach the
@@ -59,6 +60,8 @@ LEADERS = 4
 COPIES = 4
 #: The count of sets tied by a long list.
 TIED = 1 << 40
+#: Size in a row that ties two sets, and how many long lists a task keeps in mind (16 bytes each).
+TIE, MAX_LONG_LISTS = -1, 1_000_000
 #: DivideSkip's factor between the cost of merging and of probing.
 MU = 0.01
 
@@ -157,21 +160,64 @@ def _prefix(s: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
     return s[np.argsort(key, kind="stable")[:keep]]
 
 
-def _postings(size: int, percent: int, ranks):
+class _LongLists:
+    """The lists that one task has met more than ``short`` sets of, each with the first of them.
+
+    Those sets stay postings, so the whole list is long too; any further set is tied to the first here
+    and now.  So a very frequent shingle sends a few postings a task, however many sets hold it.
+    """
+
+    def __init__(self, short: int):
+        self.short, self.keys, self.first = short, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def split(self, h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each posting (distinct ones of one batch) stays one, and what it is tied to if not."""
+        stays, tied = np.ones(len(h), bool), np.zeros(len(h), np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            stays = self.keys[at] != h
+            tied = np.where(stays, 0, self.first[at])
+        open_ = np.flatnonzero(stays)
+        order = open_[np.argsort(h[open_], kind="stable")]
+        new = np.ones(len(order), bool)
+        new[1:] = h[order][1:] != h[order][:-1]
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(order)))
+        nth = np.arange(len(order)) - np.repeat(start, size)
+        lead = np.repeat(d[order[start]], size)
+        over = nth > self.short
+        stays[order[over]], tied[order[over]] = False, lead[over]
+        if len(self.keys) < MAX_LONG_LISTS:
+            more = order[start[size > self.short]]
+            keys, first = np.concatenate([self.keys, h[more]]), np.concatenate([self.first, d[more]])
+            by = np.argsort(keys)
+            self.keys, self.first = keys[by], first[by]
+        return stays, tied
+
+
+def _postings(size: int, percent: int, short: int, ranks):
+    """Rows (h, d, n): a set in the list of h, or if n is TIE, set h is tied to set d."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        long = _LongLists(short)
         for batch in batches:
-            lists, stamps, sizes = [], [], []
+            lists, stamps, sizes, here = [], [], [], set()
             for k, s in shingle_sets(batch.column(0), size):
-                if len(s) and (d := _stamp(s)) not in seen:
-                    if len(seen) < 1_000_000:  # repeats beyond that are met again where lists are sorted
-                        seen.add(d)
+                if len(s) and (d := _stamp(s)) not in seen and d not in here:
+                    # repeats beyond that are met again where lists are sorted
+                    (seen if len(seen) < 1_000_000 else here).add(d)
                     lists.append(_prefix(s, ranks.value, percent))
                     stamps.append(d)
                     sizes.append(len(s))
             if lists:
                 lens = [len(x) for x in lists]
-                yield pa.RecordBatch.from_arrays([pa.array(_i64(np.concatenate(lists))), pa.array(np.repeat(np.array(stamps, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int32), lens))], ["h", "d", "n"])
+                h, d, n = _i64(np.concatenate(lists)), np.repeat(np.array(stamps, np.int64), lens), np.repeat(np.array(sizes, np.int32), lens)
+                stays, tied = long.split(h, d)
+                ties = np.unique(np.stack([d[~stays], tied[~stays]], 1), axis=0)
+                ties = ties[ties[:, 0] != ties[:, 1]]
+                cols = [np.concatenate(x) for x in ((h[stays], ties[:, 0]), (d[stays], ties[:, 1]), (n[stays], np.full(len(ties), TIE, np.int32)))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "d", "n"])
 
     return run
 
@@ -179,7 +225,8 @@ def _postings(size: int, percent: int, ranks):
 def _pairs(percent: int, short: int):
     """From postings sorted by (h, n, d): a, b and how many lists of up to short sets hold both.
 
-    In a longer list every set is tied to the first one, with a count that no filter stops.
+    In a longer list every set is tied to the first one, with a count that no filter stops; so are
+    the ties that come along.
     """
 
     def made(a, b, na, nb, c) -> pa.RecordBatch:
@@ -226,9 +273,13 @@ def _pairs(percent: int, short: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, pivot = None, None
         for batch in _and_last(batches):
-            if batch is not None and not len(batch):
-                continue
             cols = [batch.column(i).to_numpy() for i in range(3)] if batch is not None else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+            if (tie := cols[2] == TIE).any():
+                one = np.ones(int(tie.sum()), np.int32)
+                yield made(cols[0][tie], cols[1][tie], one, one, one * np.int64(TIED))
+                cols = [x[~tie] for x in cols]
+            if batch is not None and not len(cols[0]):
+                continue
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
             h, d, n = cols
@@ -507,7 +558,7 @@ def _candidates(rows: DataFrame, shingle_words: int, percent: int, block_shingle
     narrow = first.where("chunk is null").select("doc_id", "d", "n")
     sketch = first.where("chunk is not null").select("chunk", "counts")
     ranks = rows.sparkSession.sparkContext.broadcast(_ranks(sketch, bits))
-    postings = rows.select("text").mapInArrow(_postings(shingle_words, percent, ranks), "h long, d long, n int")
+    postings = rows.select("text").mapInArrow(_postings(shingle_words, percent, SHORT_LIST, ranks), "h long, d long, n int")
     counted = postings.repartition("h").sortWithinPartitions("h", "n", "d").mapInArrow(_pairs(percent, SHORT_LIST), "a long, b long, na int, nb int, c long")
     counted = counted.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"))
     # beyond the shared prefix at most ceil(percent n / 100) - 1 shingles of the larger set can be shared

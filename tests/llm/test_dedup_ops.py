@@ -6,8 +6,11 @@ import hashlib
 import random
 import re
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,6 +105,36 @@ def test_ngram_join_of_one_large_group(spark, monkeypatch, block, sets):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_long_lists_are_tied_where_they_are_met(monkeypatch):
+    """The same sets are tied together, but a task sends few postings of a shingle, however many sets hold it."""
+    texts = [t for _, t in near_copies(400)] + [t for _, t in corpus()]
+
+    def parts():
+        ranks = SimpleNamespace(value=np.zeros(1 << 18, np.uint8))
+        tasks = [[pa.record_batch([pa.array(texts[k : k + 70], pa.string())], ["text"]) for k in range(first, min(first + 210, len(texts)), 70)] for first in range(0, len(texts), 210)]
+        sent = [pa.Table.from_batches(list(ngram_join._postings(5, 80, 8, ranks)(iter(t)))).to_pandas() for t in tasks]
+        rows = pd.concat(sent).sort_values(["h", "n", "d"])
+        batches = pa.Table.from_pandas(rows, preserve_index=False).to_batches(max_chunksize=97)
+        parent: dict = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for b in ngram_join._pairs(80, 8)(iter(batches)):
+            for x, y, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist()):
+                if c >= ngram_join.TIED:
+                    parent[root(x)] = root(y)
+        return {frozenset(g) for g in pd.Series(list(parent)).groupby([root(x) for x in parent]).agg(list)}, [x[x["n"] >= 0].groupby("h").size().max() for x in sent], len(rows)
+
+    tied, most, rows = parts()
+    assert max(most) <= 3 * 9  # a batch may show that a list is long only once it has been met
+    monkeypatch.setattr(ngram_join._LongLists, "split", lambda self, h, d: (np.ones(len(h), bool), np.zeros(len(h), np.int64)))
+    want, unbound, plain = parts()
+    assert tied == want and max(unbound) > 100 and rows < plain
+
+
 @pytest.mark.parametrize("block, sets", [(ngram_join.BLOCK_SHINGLES, 200), (500, 9)])
 def test_ngram_links_are_all_there_are(spark, block, sets):
     rows = near_copies(60) + corpus()
