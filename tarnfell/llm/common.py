@@ -60,6 +60,20 @@ def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str
     return rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys).unionByName(rows.join(hot, keys))
 
 
+def join_salted(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, by: str) -> DataFrame:
+    """join_classes for rows that are read once: a class of many rows is dealt out by the column ``by``.
+
+    Its row in classes (materialised) is copied once for each HOT_SHARE of all rows that it has, so
+    at most 2 / HOT_SHARE copies are made, and as many numbers of salts are broadcast at most.
+    """
+    share = max(1.0, HOT_SHARE * (classes.agg(F.sum(size)).first()[0] or 0))
+    salts = F.ceil(F.col(size) / share).cast("int")
+    hot = F.broadcast(classes.where(F.col(size) > share).select(*keys, salts.alias("_salts")))
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    copies = classes.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def held_out(doc_id, modulus: int, remainder: int):
     """crc32(doc_id as text) mod modulus == remainder; a null doc_id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_salted
 
 MIN_CHARS = 10
 SHARD_KEYS = 200_000
@@ -258,7 +258,7 @@ def dropped_keys(index: LineIndex) -> DataFrame:
     lines = keys.join(salts, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "hi", "lo", "doc_id", none.cast("binary").alias("table"))
     stored = index.filters.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0), none.cast("long"), none.cast("long"), none.cast("long"), "table")
     maybe = stored.union(lines).toDF("shard", "salt", "kind", "hi", "lo", "doc_id", "table").repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(_probe, "hi long, lo long, doc_id long")
-    return maybe.join(index.counts, ["hi", "lo"]).where("doc_id <> owner").select("doc_id", "hi", "lo")
+    return join_salted(maybe, index.counts, ["hi", "lo"], "refs", "doc_id").where("doc_id <> owner").select("doc_id", "hi", "lo")
 
 
 def _rebuild(min_chars: int):

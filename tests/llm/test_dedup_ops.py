@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tarnfell.llm import exact_dedup, graph, line_dedup, ngram_join, text_hash
+from tarnfell.llm import common, exact_dedup, graph, line_dedup, ngram_join, text_hash
 
 SCHEMA = "doc_id long, text string, n long, d string, row string, slot int, label string, body string"
 
@@ -190,6 +190,18 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     assert small[0] == whole[0] and small[4] == whole[4]  # a word that outgrows a piece is hashed by parts
 
 
+@pytest.mark.parametrize("share", [0.001, 0.05, 2.0])
+def test_a_class_of_many_rows_is_dealt_out(spark, monkeypatch, share):
+    """Every row meets its class once, whatever the class weighs; a row without a class is left out."""
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500 + 10).cast("long").alias("k"))
+    classes = rows.where("k <> 11").groupBy("k").agg(F.count("*").alias("size"), F.min("id").alias("least")).cache()
+    got = common.join_salted(rows, classes, ["k"], "size", "id").select("id", "least").collect()
+    want = rows.join(classes, "k").select("id", "least").collect()
+    assert sorted(got) == sorted(want) and 2900 < len(want) < 3000
+    assert common.join_salted(rows.limit(0), classes.limit(0), ["k"], "size", "id").count() == 0
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     rows = graph.components(spark.createDataFrame(path, "a long, b long")).collect()
