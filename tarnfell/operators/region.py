@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,10 +120,17 @@ def constraints(measured: DataFrame, locations: DataFrame, keys: list[str]) -> D
     return measured.join(at, "src").groupBy(*keys).agg(F.sort_array(F.collect_set(circle)).alias("constraints"))
 
 
+def exact_mean(column: str) -> Column:
+    """The mean of degrees, summed as decimals: a sum of doubles depends on the order of the rows, and with it a mean
+    halfway between two rounded values (groups with NaN, infinite or over ten digits before the point keep doubles)."""
+    exact = F.col(column).try_cast("decimal(30,20)")
+    return F.when(F.count(exact) == F.count(column), F.avg(exact).cast("double")).otherwise(F.avg(column))
+
+
 def seeds(measured: DataFrame, locations: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n_vps, seed_lat, seed_lon: the plain mean of the vantage points' positions."""
     at = locations.select(F.col("addr").alias("src"), "lat", "lon")
-    return measured.join(at, "src").groupBy(*keys).agg(F.count("*").alias("n_vps"), F.avg("lat").alias("seed_lat"), F.avg("lon").alias("seed_lon"))
+    return measured.join(at, "src").groupBy(*keys).agg(F.count("*").alias("n_vps"), exact_mean("lat").alias("seed_lat"), exact_mean("lon").alias("seed_lon"))
 
 
 def at_centre(measured: DataFrame, locations: DataFrame, centres: DataFrame, key: str = "dst") -> DataFrame:

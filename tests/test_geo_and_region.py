@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import math
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -83,3 +86,21 @@ def test_estimates(spark):
     assert region.objective(np.array([made["three"]]), *circles)[0] <= region.objective(seed, *circles)[0]
     with pytest.raises(ValueError):
         evaluate.estimate(measured, at, ["dst"], "else")
+
+
+def test_seeds_are_exact_means_in_any_order(spark):
+    cents = [k * 3701 % 13000 - 6000 for k in range(256)]
+    cents[-1] += sum(cents) % 2 == 0  # an odd sum: the mean lies halfway between two ninth decimals
+    want = float((Decimal(sum(cents)) / 25600).quantize(Decimal("1e-9"), ROUND_HALF_UP))
+    for order in (cents, cents[::-1], sorted(cents), sorted(cents, key=abs), sorted(cents, key=lambda c: c * 7919 % 9973)):
+        at = spark.createDataFrame([(str(i), c / 100, -c / 100) for i, c in enumerate(order)], "addr string, lat double, lon double").coalesce(1)
+        seen = at.select(F.col("addr").alias("src"), F.lit("t").alias("dst"))
+        (r,) = region.seeds(seen, at, ["dst"]).withColumns({"la": F.round("seed_lat", 9), "lo": F.round("seed_lon", 9)}).collect()
+        assert (r["n_vps"], r["seed_lat"], r["seed_lon"], r["la"], r["lo"]) == (256, sum(cents) / 25600, -sum(cents) / 25600, want, -want)
+
+
+def test_seeds_of_positions_that_are_no_numbers(spark):
+    at = spark.createDataFrame([("a", 1.5, 2.0), ("b", float("nan"), 4.0), ("c", float("inf"), 6.0)], "addr string, lat double, lon double")
+    seen = spark.createDataFrame([("a", "nan"), ("b", "nan"), ("a", "inf"), ("c", "inf"), ("a", "one")], "src string, dst string")
+    made = {r["dst"]: (r["seed_lat"], r["seed_lon"]) for r in region.seeds(seen, at, ["dst"]).collect()}
+    assert math.isnan(made["nan"][0]) and made["nan"][1] == 3.0 and made["inf"] == (math.inf, 4.0) and made["one"] == (1.5, 2.0)
