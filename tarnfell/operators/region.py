@@ -120,17 +120,21 @@ def constraints(measured: DataFrame, locations: DataFrame, keys: list[str]) -> D
     return measured.join(at, "src").groupBy(*keys).agg(F.sort_array(F.collect_set(circle)).alias("constraints"))
 
 
-def exact_mean(column: str) -> Column:
+def exact_mean(column: str, digits: int | None = None) -> Column:
     """The mean of degrees, summed as decimals: a sum of doubles depends on the order of the rows, and with it a mean
-    halfway between two rounded values (groups with NaN, infinite or over ten digits before the point keep doubles)."""
+    halfway between two rounded values (groups with NaN, infinite or over ten digits before the point keep doubles).
+    Digits round the mean while it is a decimal; the double nearest to it may lie on the other side of halfway."""
     exact = F.col(column).try_cast("decimal(30,20)")
-    return F.when(F.count(exact) == F.count(column), F.avg(exact).cast("double")).otherwise(F.avg(column))
+    mean, plain = F.avg(exact), F.avg(column)
+    if digits is not None:
+        mean, plain = F.round(mean, digits), F.round(plain, digits)
+    return F.when(F.count(exact) == F.count(column), mean.cast("double")).otherwise(plain)
 
 
-def seeds(measured: DataFrame, locations: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_vps, seed_lat, seed_lon: the plain mean of the vantage points' positions."""
+def seeds(measured: DataFrame, locations: DataFrame, keys: list[str], digits: int | None = None) -> DataFrame:
+    """keys, n_vps, seed_lat, seed_lon: the plain mean of the vantage points' positions, rounded if digits are given."""
     at = locations.select(F.col("addr").alias("src"), "lat", "lon")
-    return measured.join(at, "src").groupBy(*keys).agg(F.count("*").alias("n_vps"), exact_mean("lat").alias("seed_lat"), exact_mean("lon").alias("seed_lon"))
+    return measured.join(at, "src").groupBy(*keys).agg(F.count("*").alias("n_vps"), exact_mean("lat", digits).alias("seed_lat"), exact_mean("lon", digits).alias("seed_lon"))
 
 
 def at_centre(measured: DataFrame, locations: DataFrame, centres: DataFrame, key: str = "dst") -> DataFrame:

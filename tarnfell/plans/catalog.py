@@ -343,7 +343,7 @@ def constraints_array(d: Data) -> DataFrame:
 
 @query
 def centroid_seed(d: Data) -> DataFrame:
-    return region.seeds(d.edges, d.locations, ["dst"]).select("dst", "n_vps", F.round("seed_lat", 9).alias("seed_lat"), F.round("seed_lon", 9).alias("seed_lon"))
+    return region.seeds(d.edges, d.locations, ["dst"], digits=9).select("dst", "n_vps", "seed_lat", "seed_lon")
 
 
 def _at_seed(d: Data) -> DataFrame:
